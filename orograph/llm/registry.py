@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orograph.llm import packing, sentence_pieces
+from orograph.llm import language, packing, personal_data, sentence_pieces, sharding, simhash
 from orograph.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,10 +18,29 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    parser = language.fit(docs.where(~language.held_out()))
+    return language.identify(docs, parser).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoded(table(spark, sf_dir, "documents"), PIECE_BPE, digests=True)
 
 
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = personal_data.fit(personal_data.labelled_table(spark))
+    return personal_data.found(table(spark, sf_dir, "documents"), field)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
