@@ -90,8 +90,10 @@ class CrossParser:
             coded = self._runs(lowered[k])
             step = _automaton(coded, self.width).astype(np.int64)
             root = step[0]
-            # A dead end starts a phrase anew with the same character; odd entries mark that.
-            at = np.where(step > 0, 2 * (step + base) * self.width, 2 * (root + base)[None, :] * self.width + 1)
+            # The root and dead ends start a phrase with the character at hand; odd entries mark that.
+            fresh = 2 * (root + base) * self.width + 1
+            at = np.where(step > 0, 2 * (step + base) * self.width, fresh[None, :])
+            at[0] = fresh
             tables.append(at)
             starts.append(base * self.width)
             self.bits.append(math.log2(max(2, len(coded))))
@@ -148,7 +150,6 @@ class CrossParser:
             got = self.table[state[:, :live] + symbol]
             phrases[:, :live] += got & 1
             state[:, :live] = got >> 1
-        phrases += 1
         total = np.zeros((len(texts), many))
         for k in range(many):
             total[:, k] = np.bincount(of_part, phrases[k], minlength=len(texts)) * self.bits[k]

@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
 
 def _forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that join whatever chains of close values join; at most one per value."""
-    out, rest = [], values
+    out, rest = [], values.view(np.uint64)
     while len(rest):
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
@@ -76,10 +76,10 @@ def _forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(rest ^ v) <= bits
             if near.any():
                 found = rest[near]
-                out += [(int(v), int(f)) for f in found]
+                out += [(v, f) for f in found]
                 frontier += list(found)
                 rest = rest[~near]
-    return out
+    return [tuple(x) for x in np.array(out, np.uint64).view(np.int64).reshape(-1, 2).tolist()]
 
 
 def _index_links(bits: int, group_rows: int):
