@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orograph.llm import language, packing, personal_data, sentence_pieces, sharding, simhash
+from orograph.llm import chat, language, neighbours, packing, personal_data, quality, sentence_pieces, sharding, simhash, urls
 from orograph.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,8 +45,24 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.found(table(spark, sf_dir, "documents"), field)
 
 
+def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op10_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_snapshot_collapse": chat.ORACLE,
+    "op9_quality_cascade": quality.ORACLE,
+    "op10_path_templates": urls.ORACLE,
+}
