@@ -36,7 +36,7 @@ SYMBOLS = "#*$%&|<>"
 def measures(docs: DataFrame, prefix: str = "q_") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words, prefixed."""
     c = lambda name: F.col(prefix + name)
-    names = [prefix + n for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "text", "words", "lines", "grams", "at")]
+    names = [prefix + n for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "text", "words", "lines", "grams", "at", "row")]
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist")
     text = c("text")
@@ -90,11 +90,15 @@ def more_rules() -> list[Rule]:
     ]
 
 
-def ordered(measured: DataFrame, rules: list[Rule], sample_rows: int = 2_000, seed: int = 9) -> list[Rule]:
-    """Rules by rejection per cost, both measured on a sample of at most ``sample_rows`` rows."""
-    count = measured.count()
-    share = min(1.0, 50 * sample_rows / max(1, count))
-    sample = durable(measured.sample(share, seed).limit(sample_rows))
+def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 1_000, longest: int = 100_000, seed: int = 9) -> list[Rule]:
+    """Rules by rejection per cost, both measured on a sample.
+
+    The sample is at most ``sample_rows`` texts of at most ``longest`` characters;
+    it is drawn from the few partitions that hold enough rows.
+    """
+    share = min(1.0, 50 * sample_rows / max(1, docs.count()))
+    drawn = docs.select(F.col("text").cast("string")).sample(share, seed).where(F.coalesce(F.length("text"), F.lit(0)) <= longest).limit(sample_rows).collect()
+    sample = durable(measures(docs.sparkSession.createDataFrame(drawn, "text string")))
     worth = []
     for place, rule in enumerate(rules):
         ask = sample.agg(F.count_if(rule.rejects).alias("hit"), F.count("*").alias("n"))
@@ -116,10 +120,10 @@ def cascade(rules: list[Rule]) -> Column:
     return out
 
 
-def judged(docs: DataFrame, sample_rows: int = 2_000) -> DataFrame:
+def judged(docs: DataFrame, sample_rows: int = 1_000) -> DataFrame:
     """doc_id, the base measures, base_failed and kept."""
     base, rows = base_rules(), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = ordered(measures(rows), more_rules(), sample_rows)
+    chosen = ordered(rows, more_rules(), sample_rows)
     failed = base[0].rejects | base[1].rejects
     out = measures(rows).withColumn("base_failed", failed)
     # The case of the rules is evaluated only for rows that the base keeps.
@@ -128,11 +132,12 @@ def judged(docs: DataFrame, sample_rows: int = 2_000) -> DataFrame:
     return out.select("doc_id", *(F.col("q_" + n).alias(n) for n in names), "base_failed", kept.alias("kept"))
 
 
-def accepted(docs: DataFrame, sample_rows: int = 2_000) -> DataFrame:
+def accepted(docs: DataFrame, sample_rows: int = 1_000) -> DataFrame:
     """The rows of documents that no rule rejects, with their own columns."""
-    measured = measures(docs)
-    rules = ordered(measured, [*base_rules(), *more_rules()], sample_rows)
-    return measured.where(cascade(rules).isNull()).select(*docs.columns)
+    rules = ordered(docs, [*base_rules(), *more_rules()], sample_rows)
+    # The row number keeps the filter above the measures, so that none is computed again inside it.
+    measured = measures(docs).withColumn("q_row", F.monotonically_increasing_id())
+    return measured.where((F.col("q_row") >= 0) & cascade(rules).isNull()).select(*docs.columns)
 
 
 ORACLE = r"""
