@@ -1,4 +1,7 @@
 """The registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from orograph.plans import motion, visibility
+
+_PLANS = (visibility, motion)
+QUERIES = {k: f for p in _PLANS for k, f in p.REGISTRY.queries.items()}
+ORACLE = {k: s for p in _PLANS for k, s in p.REGISTRY.oracle.items()}
