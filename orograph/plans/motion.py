@@ -70,8 +70,8 @@ def altitude_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs(fixtures.routes(spark, sf_dir)).groupBy("route_id").agg(F.count_if(layer("x") != layer("x2")).alias("changes"))
 
 
-# Sensor footprints of the first routes' waypoints: above 200, 4 to 12 cells away, 90 degrees wide, looking 20 to 80 degrees down.
-FOOT = """w AS (SELECT route_id, seq, x::INT AS px, y::INT AS py, heading FROM routes WHERE route_id < 20),
+# Sensor footprints of the waypoints: above 200, 4 to 12 cells away, 90 degrees wide, looking 20 to 80 degrees down.
+FOOT = """w AS (SELECT route_id, seq, x::INT AS px, y::INT AS py, heading FROM routes),
 foot AS (SELECT route_id, seq, r, c FROM (SELECT w.*, t.r, t.c, t.z, (t.c - px)::DOUBLE AS dx, (py - t.r)::DOUBLE AS dy, sqrt(((t.c - px) * (t.c - px) + (py - t.r) * (py - t.r))::DOUBLE) * 10 AS away
     FROM w JOIN terrain t ON t.valid AND t.r BETWEEN py - 12 AND py + 12 AND t.c BETWEEN px - 12 AND px + 12)
     WHERE away >= 40 AND sqrt(away * away + (z - 400) * (z - 400)) <= 300 AND abs((degrees(atan2(dx, dy)) + 360 - heading + 180 + 360) % 360 - 180) <= 45 AND degrees(atan2(400 - z, greatest(away, 0.001))) BETWEEN 20 AND 80)"""
@@ -81,7 +81,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(route_id, seq, r, c) of the cells that a sensor sees from each waypoint."""
     from orograph.operators.masks import around
 
-    points = fixtures.routes(spark, sf_dir).where("route_id < 20").select("route_id", "seq", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), "heading", F.lit(17).alias("range_cells"))
+    points = fixtures.routes(spark, sf_dir).select("route_id", "seq", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), "heading", F.lit(17).alias("range_cells"))
     cells = around(fixtures.terrain(spark, sf_dir).where("valid"), points).where((F.abs("dx") <= 12) & (F.abs("dy") <= 12))
     cells = cells.withColumn("away", F.sqrt(F.col("d2").cast("double")) * 10)
     down = F.degrees(F.atan2(400 - F.col("z"), F.greatest(F.col("away"), F.lit(0.001))))
@@ -159,14 +159,15 @@ def speed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{with_('terrain')}, {SPEED}, ways AS (SELECT * FROM (VALUES (-1, 0, 1.0::DOUBLE), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0), (-1, -1, sqrt(2)), (-1, 1, sqrt(2)), (1, -1, sqrt(2)), (1, 1, sqrt(2))) v(a, b, d)),
-    grid AS MATERIALIZED (SELECT r, c, 10 / speed AS price FROM paced WHERE r < 10 AND c < 40),
-    walk AS (SELECT r, c, 0.0::DOUBLE AS cost, 0 AS k FROM grid WHERE r = 1 AND c = 1 UNION ALL
-        (SELECT r, c, min(cost) AS cost, any_value(k) AS k FROM (SELECT g.r, g.c, w.cost + d * (p.price + g.price) / 2 AS cost, k + 1 AS k FROM walk w JOIN grid p ON p.r = w.r AND p.c = w.c, ways JOIN grid g ON g.r = w.r + a AND g.c = w.c + b WHERE k < 60) GROUP BY r, c))
-    SELECT 0::INT AS layer, r, c, round(min(cost), 4) AS cost FROM walk GROUP BY r, c""")
+    grid AS MATERIALIZED (SELECT r, c, 10 / speed AS price FROM paced),
+    edges AS MATERIALIZED (SELECT p.r * 1000 + p.c AS k, g.r * 1000 + g.c AS k2, d * (p.price + g.price) / 2 AS w FROM grid p, ways JOIN grid g ON g.r = p.r + a AND g.c = p.c + b),
+    walk(k, cost) USING KEY (k) AS (SELECT 1001, 0.0::DOUBLE FROM grid WHERE r = 1 AND c = 1 UNION
+        (SELECT e.k2, min(x.cost + e.w) FROM walk x JOIN edges e ON e.k = x.k LEFT JOIN recurring.walk o ON o.k = e.k2 WHERE o.cost IS NULL OR x.cost + e.w < o.cost - 1e-9 GROUP BY e.k2))
+    SELECT 0::INT AS layer, (k // 1000)::INT AS r, (k % 1000)::INT AS c, round(cost, 3) AS cost FROM walk""")
 def shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = speeds(spark, sf_dir).where("r < 10 and c < 40").select(F.lit(0).alias("layer"), "r", "c", (10 / F.col("speed")).alias("price"))
+    grid = speeds(spark, sf_dir).select(F.lit(0).alias("layer"), "r", "c", (10 / F.col("speed")).alias("price"))
     starts = spark.range(1).select(F.lit(0).alias("layer"), F.lit(1).alias("r"), F.lit(1).alias("c"))
-    return paths.least_costs(grid, starts, tile=16).select("layer", "r", "c", F.round("cost", 4).alias("cost"))
+    return paths.least_costs(grid, starts, tile=128).select("layer", "r", "c", F.round("cost", 3).alias("cost"))
 
 
 # Penalty of zones on each cell: whole inside the inner radius, falling to none at the outer, times the level.
@@ -203,24 +204,34 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{with_('terrain', 'zones')}, {PENALTY}, ways AS (SELECT * FROM (VALUES (0, -1, 0, 1.0::DOUBLE, 0.0::DOUBLE), (0, 1, 0, 1.0, 0.0), (0, 0, -1, 1.0, 0.0), (0, 0, 1, 1.0, 0.0), (0, -1, -1, sqrt(2), 0.0), (0, -1, 1, sqrt(2), 0.0), (0, 1, -1, sqrt(2), 0.0), (0, 1, 1, sqrt(2), 0.0), (1, 0, 0, 1.0, 3.0), (-1, 0, 0, 1.0, 3.0)) v(e, a, b, d, up)),
-    grid AS MATERIALIZED (SELECT layer, t.r, t.c, 1 + coalesce(p.penalty, 0) * (1 - layer * 0.4) AS price FROM terrain t LEFT JOIN penalty p USING (r, c), (VALUES (0), (1)) v(layer) WHERE t.valid AND t.r < 8 AND t.c < 30),
-    walk AS (SELECT layer, r, c, 0.0::DOUBLE AS cost, 0 AS k FROM grid WHERE layer = 0 AND r = 2 AND c = 2 UNION ALL
-        (SELECT layer, r, c, min(cost) AS cost, any_value(k) AS k FROM (SELECT g.layer, g.r, g.c, w.cost + d * (p.price + g.price) / 2 + up AS cost, k + 1 AS k FROM walk w JOIN grid p ON p.layer = w.layer AND p.r = w.r AND p.c = w.c, ways JOIN grid g ON g.layer = w.layer + e AND g.r = w.r + a AND g.c = w.c + b WHERE k < 50) GROUP BY layer, r, c))
-    SELECT layer, r, c, round(min(cost), 4) AS cost FROM walk GROUP BY layer, r, c""")
+    grid AS MATERIALIZED (SELECT layer, t.r, t.c, 1 + coalesce(p.penalty, 0) * (1 - layer * 0.4) AS price FROM terrain t LEFT JOIN penalty p USING (r, c), (VALUES (0), (1)) v(layer) WHERE t.valid),
+    edges AS MATERIALIZED (SELECT p.layer * 10000000 + p.r * 1000 + p.c AS k, g.layer * 10000000 + g.r * 1000 + g.c AS k2, d * (p.price + g.price) / 2 + up AS w FROM grid p, ways JOIN grid g ON g.layer = p.layer + e AND g.r = p.r + a AND g.c = p.c + b),
+    walk(k, cost) USING KEY (k) AS (SELECT 2002, 0.0::DOUBLE FROM grid WHERE layer = 0 AND r = 2 AND c = 2 UNION
+        (SELECT e.k2, min(x.cost + e.w) FROM walk x JOIN edges e ON e.k = x.k LEFT JOIN recurring.walk o ON o.k = e.k2 WHERE o.cost IS NULL OR x.cost + e.w < o.cost - 1e-9 GROUP BY e.k2))
+    SELECT (k // 10000000)::INT AS layer, (k % 10000000 // 1000)::INT AS r, (k % 1000)::INT AS c, round(cost, 3) AS cost FROM walk""")
 def layered_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = layered(spark, sf_dir).where("r < 8 and c < 30").select("layer", "r", "c", (1 + F.col("risk")).alias("price"))
+    grid = layered(spark, sf_dir).select("layer", "r", "c", (1 + F.col("risk")).alias("price"))
     starts = spark.range(1).select(F.lit(0).alias("layer"), F.lit(2).alias("r"), F.lit(2).alias("c"))
-    return paths.least_costs(grid, starts, tile=16, layers=2, vertical=3.0).select("layer", "r", "c", F.round("cost", 4).alias("cost"))
+    return paths.least_costs(grid, starts, tile=128, layers=2, vertical=3.0).select("layer", "r", "c", F.round("cost", 3).alias("cost"))
 
 
 @query(f"{with_('targets', 'zones')} SELECT target_id, round(sqrt(min((t.r - z.r) * (t.r - z.r) + (t.c - z.c) * (t.c - z.c))::DOUBLE), 6) AS distance FROM targets t, zones z GROUP BY target_id")
 def nearest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = fixtures.zones(spark, sf_dir).select(F.col("r").alias("zr"), F.col("c").alias("zc"))
-    # At most twelve zones, gathered in one row.
-    gathered = zones.agg(F.collect_list(F.struct("zr", "zc")).alias("zones"))
-    rows = fixtures.targets(spark, sf_dir).join(F.broadcast(gathered))
-    square = F.transform("zones", lambda z: (F.col("r") - z["zr"]) * (F.col("r") - z["zr"]) + (F.col("c") - z["zc"]) * (F.col("c") - z["zc"]))
-    return rows.select("target_id", F.round(F.sqrt(F.array_min(square).cast("double")), 6).alias("distance"))
+    from orograph.operators.masks import around
+
+    zones = fixtures.zones(spark, sf_dir).select("r", "c").distinct()
+    # Rings of growing reach: what has a zone within reach is settled, the rest goes on.
+    left = fixtures.targets(spark, sf_dir).select("target_id", "r", "c")
+    reach, found = 8, None
+    while reach == 8 or not left.isEmpty():
+        sites = left.select("r", "c").distinct().withColumn("range_cells", F.lit(reach))
+        least = around(zones, sites).groupBy(F.col("site_r").alias("r"), F.col("site_c").alias("c")).agg(F.min("d2").alias("d2"))
+        met = left.join(least, ["r", "c"]).select("target_id", F.round(F.sqrt(F.col("d2").cast("double")), 6).alias("distance"))
+        found = met if found is None else found.unionByName(met)
+        left, reach = left.join(least, ["r", "c"], "left_anti"), reach * 8
+        if reach > 100_000:
+            break
+    return found
 
 
 PAIR = "sums AS (SELECT route_id, sum({0}) / 12.0 AS first_s, sum({0}) / 12.1 + route_id % 3 AS second_s FROM legs GROUP BY route_id)".format(LENGTH)

@@ -182,11 +182,11 @@ def multi_station_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{with_('terrain', 'stations')}, {NEAR}, {SEEN} SELECT a.station_id AS first_id, b.station_id AS second_id, count(*) AS shared FROM seen a JOIN seen b USING (r, c) WHERE a.visible AND b.visible AND a.station_id < b.station_id GROUP BY ALL")
+@query(f"{with_('terrain', 'stations')}, {NEAR}, {SEEN}, {COUNTS} SELECT station_id, count(*) AS visible_cells, count(*) FILTER (counts.n >= 2) AS shared_cells FROM seen JOIN counts USING (r, c) WHERE visible GROUP BY station_id")
 def fusion_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = seen(spark, sf_dir).where("visible").select("r", "c", F.col("station_id").alias("first_id"))
-    theirs = mine.withColumnRenamed("first_id", "second_id")
-    return mine.join(theirs, ["r", "c"]).where("first_id < second_id").groupBy("first_id", "second_id").agg(F.count("*").alias("shared"))
+    mine = seen(spark, sf_dir).where("visible").select("station_id", "r", "c")
+    counts = mine.groupBy("r", "c").agg(F.count("*").alias("n"))
+    return mine.join(counts, ["r", "c"]).groupBy("station_id").agg(F.count("*").alias("visible_cells"), F.count_if(F.col("n") >= 2).alias("shared_cells"))
 
 
 ENVELOPE = """env AS (SELECT station_id, r, c, greatest(z + least_height, h0 + sqrt(d2) * 10 * tan(radians(0.5))) AS lower, h0 + sqrt(greatest(0, (range_cells * 10) * (range_cells * 10) - d2 * 100)) AS upper FROM least)"""
@@ -212,21 +212,22 @@ def height_band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.where("height_m between lower and upper").groupBy("height_m", "r", "c").agg(F.count("*").alias("n"))
 
 
-# Rays from station 0 to every target.
+# A ray to every target from the station whose turn it is.
 PROFILE = """pr AS (SELECT t.target_id, s.r AS r0, s.c AS c0, g.z + s.height_m AS h0, t.r AS r1, t.c AS c1, t.z_abs AS h1, greatest(abs(t.r - s.r), abs(t.c - s.c)) AS n, s.range_cells
-    FROM targets t, stations s JOIN terrain g ON g.r = s.r AND g.c = s.c WHERE s.station_id = 0),
+    FROM targets t JOIN stations s ON s.station_id = t.target_id % (SELECT count(*) FROM stations) JOIN terrain g ON g.r = s.r AND g.c = s.c),
 ps AS (SELECT p.*, i, h0 + (h1 - h0) * i / n AS line, t.z AS ground FROM (SELECT *, unnest(range(1, n)) AS i FROM pr) p JOIN terrain t
     ON t.r = r0 + floor((2 * (r1 - r0) * i + n) / (2 * n)) AND t.c = c0 + floor((2 * (c1 - c0) * i + n) / (2 * n)) AND t.valid),
 pa AS (SELECT target_id, min(line - ground) AS worst_clearance, min(i) FILTER (line - ground < 0) AS first_hit, max(h0 + (ground - h0) * n / i) AS needed, arg_min(i, (line - ground, i)) AS worst_at FROM ps GROUP BY target_id)"""
 
 
 def target_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles from station 0 to every target."""
+    """A profile to every target, from the station whose turn it is."""
     cells = fixtures.terrain(spark, sf_dir)
-    site = fixtures.stations(spark, sf_dir).where("station_id = 0").join(cells, ["r", "c"])
-    site = site.select(F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("z") + F.col("height_m")).alias("h0"), "range_cells")
-    # The site is a single row by its key.
-    lines = fixtures.targets(spark, sf_dir).select("target_id", F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("z_abs").alias("h1")).join(F.broadcast(site))
+    sites = fixtures.stations(spark, sf_dir)
+    many = F.broadcast(sites.agg(F.count("*").alias("many")))  # one row
+    sites = sites.join(cells, ["r", "c"]).select("station_id", F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("z") + F.col("height_m")).alias("h0"), "range_cells")
+    ends = fixtures.targets(spark, sf_dir).join(many).select((F.col("target_id") % F.col("many")).alias("station_id"), "target_id", F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("z_abs").alias("h1"))
+    lines = ends.join(sites, "station_id")
     return sight.profiles(lines, cells, ["target_id"])
 
 
