@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -325,14 +326,28 @@ class Finder:
                     i = j
         out = []
         for mine, more in zip(base, added, strict=True):
-            taken = list(mine)
-            for s in sorted(more):
-                if not any(s[0] < b and a < s[1] for a, b, _ in taken):
-                    taken.append(s)
-            out.append((mine, sorted(taken, key=lambda s: (s[0], KINDS.index(s[2])))))
+            taken = merged(mine)
+            starts = [a for a, _, _ in taken]
+            every = list(mine)
+            for s in sorted(more):  # spans that are added lie apart, so only base spans can be in the way
+                i = bisect_left(starts, s[1])
+                if not i or taken[i - 1][1] <= s[0]:
+                    every.append(s)
+            out.append((mine, sorted(every, key=lambda s: (s[0], KINDS.index(s[2])))))
         return out
 
 
+def merged(spans: list[tuple[int, int, str]]) -> list[list]:
+    """Spans in order, those that overlap as one of the first one's kind."""
+    out: list[list] = []
+    for a, b, k in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b, k])
+    return out
+
+
 def _told(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -358,13 +373,7 @@ def found(docs: DataFrame, field: Field) -> DataFrame:
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with every span replaced by its kind in brackets; overlapping spans are replaced as one."""
     out, at = [], 0
-    merged: list[list] = []
-    for a, b, k in sorted(spans):
-        if merged and a < merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b, k])
-    for a, b, k in merged:
+    for a, b, k in merged(spans):
         out += [text[at:a], f"[{k.upper()}]"]
         at = b
     return "".join(out) + text[at:]
