@@ -173,17 +173,19 @@ def fit(labelled: DataFrame, sample_docs: int = 200, text_chars: int = 40_000, m
     return CrossParser({k: " ".join(v)[: text_chars + max_chars] for k, v in texts.items()})
 
 
-def identify(docs: DataFrame, parser: CrossParser, keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, parser: CrossParser, keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """lang_pred and score (0 to 1, the lead over the second language) of every document.
 
-    Returns doc_id, lang_pred and score; with ``keep`` all columns and these two.
+    Returns doc_id, lang_pred and score; with ``keep`` all columns and these two,
+    which ``names`` can call otherwise where a column of that name is there.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(parser)  # bounded by text_chars a language
     rows = docs if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     columns = rows.columns
     place = columns.index("text")
-    added = "lang_pred string, score double"
+    added = f"`{names[0]}` string, `{names[1]}` double"
+    called = [*names]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) if keep else "doc_id long"
 
     def run(batches):
@@ -191,7 +193,7 @@ def identify(docs: DataFrame, parser: CrossParser, keep: bool = False) -> DataFr
 
         parser = shared.value
         points = parser.coder()
-        names = np.array([*parser.languages, UNKNOWN], dtype=object)
+        told = np.array([*parser.languages, UNKNOWN], dtype=object)
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             for a, b in chunks(texts, 1_000_000):
@@ -200,14 +202,14 @@ def identify(docs: DataFrame, parser: CrossParser, keep: bool = False) -> DataFr
                     best = np.argmin(costs, axis=1)
                     ranked = np.sort(costs, axis=1)
                     lead = 1 - ranked[:, 0] / np.maximum(ranked[:, min(1, ranked.shape[1] - 1)], 1e-9)
-                    best = np.where(letters > 0, best, len(names) - 1)
+                    best = np.where(letters > 0, best, len(told) - 1)
                     score = np.where(letters > 0, np.clip(lead, 0, 1), 0.0)
                 else:
-                    best, score = np.full(b - a, len(names) - 1), np.zeros(b - a)
+                    best, score = np.full(b - a, len(told) - 1), np.zeros(b - a)
                 part = batch.slice(a, b - a)
                 cols = [c for i, c in enumerate(part.columns) if keep or i != place]
                 kept = [n for i, n in enumerate(columns) if keep or i != place]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(told[best].tolist(), pa.string()), pa.array(score)], names=[*kept, *called])
 
     return rows.mapInArrow(run, f"{fields}, {added}")
 

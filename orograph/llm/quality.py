@@ -11,8 +11,7 @@ higher-order functions), so nothing is shuffled and no key is hot.
 
 Cases: null and empty texts have no words and every measure 0; they fail the
 length rule. Texts are read whole. Repeated rows are judged alike. Other columns
-stay as they are in the cascade (columns whose names clash with a measure are
-not allowed there and raise); the measures' own names are prefixed by ``q_``.
+stay as they are; measures get a prefix that no column has (``q_`` if it is free).
 An empty table gives no rows; on an empty sample rules keep their given order.
 A three-word window is told by the 64-bit hash of its words.
 """
@@ -25,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import durable
+from orograph.llm.common import durable, unused
 
 #: The white space between words, and the characters that count as symbols.
 SPACE = " \t\n\x0b\x0c\r"
@@ -34,11 +33,8 @@ SYMBOLS = "#*$%&|<>"
 
 
 def measures(docs: DataFrame, prefix: str = "q_") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words, prefixed."""
+    """Adds to a table that has no column of the prefix: n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words, prefixed."""
     c = lambda name: F.col(prefix + name)
-    names = [prefix + n for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "text", "words", "lines", "grams", "at", "row")]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist")
     text = c("text")
     out = docs.withColumn(prefix + "text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = out.withColumns({
@@ -73,24 +69,25 @@ class Rule:
     rejects: Column
 
 
-def base_rules() -> list[Rule]:
-    n, again = F.col("q_n_words"), F.col("q_n_repeat_words")
+def base_rules(prefix: str = "q_") -> list[Rule]:
+    n, again = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
     return [Rule("short", n < 50), Rule("repetitive", 100 * again > 50 * n)]
 
 
-def more_rules() -> list[Rule]:
+def more_rules(prefix: str = "q_") -> list[Rule]:
     """Rules beyond the base; clean prose is far from each threshold."""
-    n, text = F.col("q_n_words"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    q = lambda name: F.col(prefix + name)
+    n, text = q("n_words"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     capitals = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
     return [
-        Rule("symbols", 4 * F.col("q_n_symbols") > n),
-        Rule("duplicate_lines", 10 * F.col("q_n_dup_lines") > 3 * F.greatest(F.col("q_n_lines"), F.lit(10))),
-        Rule("long_words", F.col("q_word_chars") > 20 * n),
-        Rule("capitals", 2 * capitals > F.col("q_word_chars")),
+        Rule("symbols", 4 * q("n_symbols") > n),
+        Rule("duplicate_lines", 10 * q("n_dup_lines") > 3 * F.greatest(q("n_lines"), F.lit(10))),
+        Rule("long_words", q("word_chars") > 20 * n),
+        Rule("capitals", 2 * capitals > q("word_chars")),
     ]
 
 
-def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 1_000, longest: int = 100_000, seed: int = 9) -> list[Rule]:
+def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 1_000, longest: int = 100_000, seed: int = 9, prefix: str = "q_") -> list[Rule]:
     """Rules by rejection per cost, both measured on a sample.
 
     The sample is at most ``sample_rows`` texts of at most ``longest`` characters;
@@ -98,7 +95,7 @@ def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 1_000, longes
     """
     share = min(1.0, 50 * sample_rows / max(1, docs.count()))
     drawn = docs.select(F.col("text").cast("string")).sample(share, seed).where(F.coalesce(F.length("text"), F.lit(0)) <= longest).limit(sample_rows).collect()
-    sample = durable(measures(docs.sparkSession.createDataFrame(drawn, "text string")))
+    sample = durable(measures(docs.sparkSession.createDataFrame(drawn, "text string"), prefix))
     worth = []
     for place, rule in enumerate(rules):
         ask = sample.agg(F.count_if(rule.rejects).alias("hit"), F.count("*").alias("n"))
@@ -134,10 +131,11 @@ def judged(docs: DataFrame, sample_rows: int = 1_000) -> DataFrame:
 
 def accepted(docs: DataFrame, sample_rows: int = 1_000) -> DataFrame:
     """The rows of documents that no rule rejects, with their own columns."""
-    rules = ordered(docs, [*base_rules(), *more_rules()], sample_rows)
+    own = unused("q_", docs.columns)
+    rules = ordered(docs, [*base_rules(own), *more_rules(own)], sample_rows, prefix=own)
     # The row number keeps the filter above the measures, so that none is computed again inside it.
-    measured = measures(docs).withColumn("q_row", F.monotonically_increasing_id())
-    return measured.where((F.col("q_row") >= 0) & cascade(rules).isNull()).select(*docs.columns)
+    measured = measures(docs, own).withColumn(own + "row", F.monotonically_increasing_id())
+    return measured.where((F.col(own + "row") >= 0) & cascade(rules).isNull()).select(*docs.columns)
 
 
 ORACLE = r"""
