@@ -28,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orograph.llm.common import durable
+
 #: The host rules, (verdict, rule).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,7 +74,8 @@ class Tree:
 def templates(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """The verdict of each (host, s1, s2, s3) of pages (host, s1, s2, s3, verdict)."""
     tree = tree or Tree()
-    nodes = pages.groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
+    counts = (F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
+    nodes = durable(pages.groupBy("host", "s1", "s2", "s3").agg(*counts))
 
     def wild(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
         """Adds the generalised segment ``name``w: * where children are many and mostly different."""
@@ -82,7 +85,7 @@ def templates(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
 
     nodes = wild(nodes, ["host"], "s1")
     nodes = wild(nodes, ["host", "s1w"], "s2")
-    nodes = wild(nodes, ["host", "s1w", "s2w"], "s3")
+    nodes = durable(wild(nodes, ["host", "s1w", "s2w"], "s3"))
     kids = nodes.groupBy("host", "s1w", "s2w").agg(F.sum("n").alias("k"))
     totals = kids.groupBy("host", "s1w").agg(F.sum("k").alias("total"))
     share = F.floor((8 * F.col("k") + F.col("total")) / (2 * F.col("total"))).cast("long")
