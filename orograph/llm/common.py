@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orograph.operators.checkpoint import durable  # noqa: F401
+
 #: Code points handled at once inside a task; bounds the numpy work arrays.
 CHUNK_CHARS = 2_000_000
 
@@ -35,20 +36,6 @@ def unused(prefix: str, columns: list[str]) -> str:
     return prefix
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    Cuts the lineage at a copy that outlives any executor. The folder is the
-    session's ``spark.checkpoint.dir``; one is made only where it is unset.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orograph-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges ``[a, b)`` of whole texts holding about ``limit`` characters each."""
     start = size = 0

@@ -8,11 +8,11 @@ row is one task.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orograph.operators.checkpoint import durable
+
 BLOCK = 256
 
 
@@ -25,23 +25,21 @@ def runs(cells: DataFrame) -> DataFrame:
 
 def components(runs: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """Runs with ``region``, the smallest run number of their 4-connected component."""
-    context = runs.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(runs.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orograph-checkpoint-"))
     # A number that tells a run and orders runs by row and column.
-    rows = runs.withColumn("id", F.col("r").cast("long") * 2**31 + F.col("c0")).checkpoint()
+    rows = durable(runs.withColumn("id", F.col("r").cast("long") * 2**31 + F.col("c0")))
     spread = rows.withColumn("b", F.explode(F.sequence(F.floor(F.col("c0") / BLOCK), F.floor(F.col("c1") / BLOCK))))
     below = spread.select(F.col("id").alias("to"), (F.col("r") - 1).alias("r"), "value", "b", F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     down = spread.join(below, ["value", "r", "b"]).where("c0 <= d1 and d0 <= c1").select("id", "to")
     beside = rows.select(F.col("id").alias("to"), "r", "value", (F.col("c0") - 1).alias("c1"))
     links = down.union(rows.join(beside, ["value", "r", "c1"]).select("id", "to"))
-    links = links.union(links.select("to", "id")).distinct().checkpoint()
+    links = durable(links.union(links.select("to", "id")).distinct())
     labels = rows.select("id", F.col("id").alias("region"))
     for _ in range(max_rounds):
         around = links.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("region").alias("other"))
         moved = labels.join(around, "id", "left").select("id", F.least("region", "other").alias("next"), "region")
         jump = moved.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = moved.join(jump, "next", "left").select("id", F.least("next", "far").alias("region"), (F.least("next", "far") != F.col("region")).alias("changed")).checkpoint()
+        new = moved.join(jump, "next", "left").select("id", F.least("next", "far").alias("region"), (F.least("next", "far") != F.col("region")).alias("changed"))
+        new = durable(new)
         labels = new.select("id", "region")
         if new.where("changed").isEmpty():
             return rows.join(labels, "id").drop("id")
