@@ -83,15 +83,16 @@ def _forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def _index_links(bits: int, group_rows: int):
-    """For rows (key, fp) in key order: links within a key's group; b is null for one too large."""
+    """For rows (key, fp) in key order: links (a, b) within a key's group; of one too large, its fingerprints a and its key."""
 
     def run(batches):
         import pyarrow as pa
 
         def emit(links, large):
-            a = [x for x, _ in links] + large
+            a = [x for x, _ in links] + [x for _, x in large]
             b = [y for _, y in links] + [None] * len(large)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            of = [None] * len(links) + [k for k, _ in large]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, of)], names=["a", "b", "key"])
 
         held: list[np.ndarray] = []  # of the group that goes on in the next batch
         held_key, held_rows, spilling = None, 0, False
@@ -99,7 +100,7 @@ def _index_links(bits: int, group_rows: int):
             keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
             links: list[tuple[int, int]] = []
-            large: list[int] = []
+            large: list[tuple[int, int]] = []
             many = np.flatnonzero(np.diff(edges) > 1).tolist()
             last = len(edges) - 2
             for k in sorted({0, last, *many}) if len(keys) else ():
@@ -112,7 +113,7 @@ def _index_links(bits: int, group_rows: int):
                     held, held_key, held_rows, spilling = [group], key, 0, False
                 held_rows += len(group)
                 if spilling or held_rows > group_rows:
-                    large += np.concatenate(held).tolist()
+                    large += [(int(key), x) for x in np.concatenate(held).tolist()]
                     held, spilling = [], True
                 elif k != last:
                     if held_rows > 1:
@@ -126,14 +127,16 @@ def _index_links(bits: int, group_rows: int):
     return run
 
 
-def _variants(fp: Column) -> Column:
-    """Keys of a fingerprint: each half with one bit wiped out, with the half and the bit."""
+def _variants(fp: Column, segments: int = 2) -> Column:
+    """Keys of a fingerprint: each segment with one bit wiped out, with that bit's place."""
+    cuts = [64 * i // segments for i in range(segments + 1)]
     out = []
-    for half in range(2):
-        part = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-        for bit in range(32):
-            tag = F.lit((half * 32 + bit) << 32)
-            out.append(part.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << bit))).bitwiseOR(tag))
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        whole = (1 << (high - low)) - 1
+        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(whole).cast("long"))
+        for bit in range(high - low):
+            tag = F.lit((low + bit) << 32).cast("long")
+            out.append(part.bitwiseAND(F.lit(whole ^ (1 << bit)).cast("long")).bitwiseOR(tag))
     return F.array(*out)
 
 
@@ -153,26 +156,89 @@ def _two_wiped(batches):
             yield pa.RecordBatch.from_arrays(cols, names=["pair", "key", "fp"])
 
 
-def links(nodes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints ``fp`` at two or fewer bits apart."""
-    keyed = nodes.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp")
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_index_links(2, group_rows), "a long, b long")
-    met = durable(met)
-    near = met.where("b is not null").distinct()
-    large = met.where("b is null").select(F.col("a").alias("fp")).distinct()
-    wiped = large.mapInArrow(_two_wiped, "pair int, key long, fp long")
+def _met(keyed: DataFrame, bits: int, group_rows: int) -> DataFrame:
+    """What rows (key, fp) of one key have to do with each other."""
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_index_links(bits, group_rows), "a long, b long, key long")
+
+
+def _in_blocks(large: DataFrame, bits: int, group_rows: int) -> DataFrame:
+    """Links of groups (key, fp) too large for a task: every two blocks of a group meet in a task of their own."""
+    many = large.groupBy("key").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("many"))
+    dealt = large.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("many")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return _met(dealt.select(pair.alias("key"), "fp"), bits, 1 << 62).select("a", "b")
+
+
+def links(nodes: DataFrame, group_rows: int = GROUP_ROWS, bits: int = 2) -> DataFrame:
+    """Links (a, b) that join all distinct fingerprints ``fp`` at ``bits`` or fewer bits apart.
+
+    ``bits`` // 2 + 1 segments are cut, so that one of them differs by one bit at most.
+    """
+    met = durable(_met(nodes.select(F.explode(_variants(F.col("fp"), bits // 2 + 1)).alias("key"), "fp"), bits, group_rows))
+    near = met.where("b is not null").select("a", "b").distinct()
+    large = met.where("b is null").select("key", F.col("a").alias("fp"))
+    if bits > 2:
+        return near.union(_in_blocks(large, bits, group_rows))
+    wiped = large.select("fp").distinct().mapInArrow(_two_wiped, "pair int, key long, fp long")
     fewest = wiped.groupBy("pair", "key").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     rest = fewest.select(F.explode("all").alias("a"), "b").where("a <> b")
     return near.union(rest)
 
 
-def near_duplicates(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
-    marked = durable(fingerprints(docs))
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes, group_rows))
+def _shingles(text: Column, size: int) -> Column:
+    """The distinct shingles of a text's words, as hashes; fewer words than a shingle make one."""
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lowered, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    starts = lambda w: F.slice(w, 1, F.greatest(F.size(w) - (size - 1), F.lit(1)))
+    # The words are put in a row of one, so that they are split once and not for every shingle.
+    each = F.transform(F.array(words), lambda w: F.transform(starts(w), lambda _, i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))))
+    return F.array_distinct(F.get(each, F.lit(0)))
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The links (a, b) whose texts, those of the ``least`` ids of their fingerprints, have shingle sets as similar as asked.
+
+    Texts are read only for fingerprints that have a link, and compared in the row.
+    """
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sets = ends.join(nodes, "fp").join(texts, "least").select("fp", _shingles(F.col("text"), size).alias("set"))
+    sets = durable(sets.groupBy("fp").agg(F.max("set").alias("set")))  # rows may be repeated under one id
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+
+
+def _grouped(marked: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of marked documents under links between fingerprints."""
+    roots = components(linked)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = placed.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(of_fp, "fp").select("doc_id", hexed, "component_id")
+
+
+def near_duplicates(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
+    marked = durable(fingerprints(docs))
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _grouped(marked, nodes, links(nodes, group_rows))
+
+
+def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """As ``near_duplicates``, with more links: fingerprints up to ``bits`` apart whose texts are similar by shingles.
+
+    Beyond two bits a fingerprint alone can't tell near copies from texts that
+    share passages, so those links are checked on the texts (Jaccard similarity
+    of the sets of ``size``-word shingles, ``percent`` or more). What is checked
+    are the links that an index group's forest names, not every pair in it: a
+    near copy whose only links there fail the check stays apart.
+    """
+    marked = durable(fingerprints(docs))
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    sure = durable(links(nodes, group_rows))
+    wide = links(nodes, group_rows, bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    wide = durable(wide.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2).distinct())
+    return _grouped(marked, nodes, sure.union(similar(wide, nodes, docs, size, percent)))

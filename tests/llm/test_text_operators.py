@@ -102,12 +102,15 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(prints):
-    """Smallest reachable doc_id of each fingerprint, by comparing all."""
+def plain_components(prints, bits=2, alike=None):
+    """Smallest reachable doc_id of each fingerprint, by comparing all; beyond two bits ``alike`` is asked."""
     values = np.array(sorted(prints), np.uint64)
     group = np.arange(len(values))
     for i in range(len(values)):
-        for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 2):
+        apart = np.bitwise_count(values ^ values[i])
+        for j in np.flatnonzero(apart <= bits):
+            if apart[j] > 2 and alike and not alike(int(values[i]), int(values[j])):
+                continue
             a, b = group[i], group[j]
             group[group == max(a, b)] = min(a, b)
     least = {}
@@ -131,14 +134,54 @@ def test_near_duplicates_of_the_small_table(spark, small, group_rows):
     check_components(simhash.near_duplicates(docs, group_rows).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_near_copies(docs):
+    """Smallest reachable doc_id by fingerprint: two bits apart, or five and four fifths of the shingles the same."""
+    prints, texts = defaultdict(list), {}
+    for doc, text in sorted(docs):
+        prints[plain_fingerprint(text)].append(doc)
+        texts.setdefault(plain_fingerprint(text), plain_shingles(text))
+    alike = lambda a, b: 100 * len(texts[a] & texts[b]) >= 80 * len(texts[a] | texts[b])
+    return plain_components(prints, 5, alike)
+
+
+def test_near_copies_beyond_two_bits(spark, odd_docs, no_docs):
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(3000)]
+    docs = []
+    for k in range(60):
+        text = draw.choices(words, k=200)
+        docs.append((10 * k, " ".join(text)))
+        for i, changes in enumerate((2, 4, 20, 60), 1):
+            other = list(text)
+            for at in draw.sample(range(200), changes):
+                other[at] = draw.choice(words)
+            docs.append((10 * k + i, " ".join(other)))
+    want = plain_near_copies(docs)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    for group_rows in (simhash.GROUP_ROWS, 2):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(rows, group_rows=group_rows).collect()}
+        assert got == {d: want[plain_fingerprint(t)] for d, t in docs}
+        # Far texts stay apart, and some near ones are found beyond the two bits.
+        assert all(got[d] == d for d in got if d % 10 in (0, 3, 4))
+        two = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows).collect()}
+        assert sum(got[d] != d for d in got) > sum(two[d] != d for d in two)
+    assert simhash.near_copies(odd_docs).count() == odd_docs.count() and simhash.near_copies(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("bits", [2, 5])
 @pytest.mark.parametrize("group_rows", [simhash.GROUP_ROWS, 3])
-def test_links_join_all_that_is_close(spark, group_rows):
+def test_links_join_all_that_is_close(spark, group_rows, bits):
     draw = random.Random(3)
     base = [draw.getrandbits(64) for _ in range(40)]
     values = {v ^ sum(1 << draw.randrange(64) for _ in range(draw.randint(0, 3))) & (2**64 - 1) for v in base for _ in range(20)}
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    got = simhash.links(spark.createDataFrame(signed, "fp long"), group_rows).collect()
-    least = plain_components({v: [v] for v in values})
+    got = simhash.links(spark.createDataFrame(signed, "fp long"), group_rows, bits).collect()
+    least = plain_components({v: [v] for v in values}, bits)
     group = {v: v for v in values}
 
     def find(x):
@@ -148,7 +191,7 @@ def test_links_join_all_that_is_close(spark, group_rows):
 
     for r in got:
         a, b = r["a"] % (1 << 64), r["b"] % (1 << 64)
-        assert (a ^ b).bit_count() <= 2
+        assert (a ^ b).bit_count() <= bits
         group[max(find(a), find(b))] = min(find(a), find(b))
     assert {v: find(v) for v in values} == least
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
-from test_text_operators import plain_components, plain_fingerprint, plain_spans
+from test_text_operators import plain_near_copies, plain_spans
 from tokenizers import Tokenizer
 
 
@@ -31,10 +31,7 @@ def plain_pipeline(docs):
     sizes.append({d for d, _ in rows})
     rows = [(d, t) for d, t in rows if _good(t)]
     sizes.append({d for d, _ in rows})
-    prints: dict[int, list[int]] = {}
-    for d, t in rows:
-        prints.setdefault(plain_fingerprint(t), []).append(d)
-    first = set(plain_components(prints).values())
+    first = set(plain_near_copies(rows).values())
     rows = [(d, t) for d, t in rows if d in first]
     sizes.append({d for d, _ in rows})
     sizes.append({d for d, _ in rows})
