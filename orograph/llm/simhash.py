@@ -12,7 +12,8 @@ pairs; a group of more than ``group_rows`` is not compared inside a task but
 passed on, and its fingerprints meet instead on variants with two of the 64 bits
 wiped out, whose groups hold four fingerprints at most. So work stays linear in
 the number of fingerprints and no link is lost. Components come from links by
-star contraction in the shared checkpoint folder.
+star contraction in the shared checkpoint folder. ``near_copies`` cuts more
+segments, reaches further and checks what is beyond two bits on the texts.
 
 Cases: null and empty texts, and texts of white space, have no words and
 fingerprint zero, and link like any other fingerprint. Texts of one or two words
