@@ -162,13 +162,18 @@ def _met(keyed: DataFrame, bits: int, group_rows: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_index_links(bits, group_rows), "a long, b long, key long")
 
 
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """Rows (key, fp, many) with a ``block`` for every two of the ``many`` parts of a group."""
+    dealt = keyed.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("many")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    return dealt.withColumn("block", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+
+
 def _in_blocks(large: DataFrame, bits: int, group_rows: int) -> DataFrame:
     """Links of groups (key, fp) too large for a task: every two blocks of a group meet in a task of their own."""
     many = large.groupBy("key").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("many"))
-    dealt = large.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("many")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    return _met(dealt.select(pair.alias("key"), "fp"), bits, 1 << 62).select("a", "b")
+    dealt = _dealt(large.join(many, "key"))
+    return _met(dealt.select(F.col("block").alias("key"), "fp"), bits, 1 << 62).select("a", "b")
 
 
 def links(nodes: DataFrame, group_rows: int = GROUP_ROWS, bits: int = 2) -> DataFrame:
@@ -228,18 +233,86 @@ def near_duplicates(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     return _grouped(marked, nodes, links(nodes, group_rows))
 
 
+def _index_pairs(bits: int):
+    """For rows (key, fp, root) in key order: every two close fingerprints (a, b) of a key's group with different roots."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def told(group):
+            values, roots = group[:, 0].view(np.uint64), group[:, 1]
+            for i in range(len(group) - 1):
+                near = 1 + i + np.flatnonzero((np.bitwise_count(values[i + 1 :] ^ values[i]) <= bits) & (roots[i + 1 :] != roots[i]))
+                if len(near):
+                    other = group[near, 0]
+                    yield np.minimum(other, group[i, 0]), np.maximum(other, group[i, 0])
+
+        def groups():
+            held, held_key = [], None  # of the group that goes on in the next batch
+            for batch in batches:
+                keys, rows = batch.column(0).to_numpy(), np.column_stack([batch.column(i).to_numpy() for i in (1, 2)])
+                edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)].tolist()
+                for low, high in zip(edges, edges[1:], strict=False):
+                    if low == high:
+                        continue
+                    if held and keys[low] != held_key:
+                        yield np.concatenate(held)
+                        held = []
+                    held_key = keys[low]
+                    held.append(rows[low:high])
+            if held:
+                yield np.concatenate(held)
+
+        record = lambda found: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        found, rows = [], 0
+        for group in groups():
+            for pair in told(group):
+                found.append(pair)
+                rows += len(pair[0])
+                if rows >= 1 << 16:
+                    yield record(found)
+                    found, rows = [], 0
+        if found:
+            yield record(found)
+
+    return run
+
+
+def pairs_apart(rows: DataFrame, bits: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Every pair (a < b) of fingerprints at ``bits`` or fewer bits apart, of rows (fp, root) with different roots."""
+    keyed = rows.select(F.explode(_variants(F.col("fp"), bits // 2 + 1)).alias("key"), "fp", "root")
+    mixed = keyed.groupBy("key").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.where("low <> high").select("key", "many")
+    dealt = _dealt(keyed.join(mixed, "key")).select("block", "fp", "root")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_index_pairs(bits), "a long, b long").distinct()
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) that join all fingerprints of ``nodes`` (fp, least) two bits apart, and those up to ``bits`` apart whose texts are similar.
+
+    First the links that the forests of the index groups name are checked. That
+    leaves out pairs whose ends a forest joins only by links that fail, so then
+    all pairs are checked whose ends are in different components so far.
+    """
+    sure = durable(links(nodes, group_rows))
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    named = durable(links(nodes, group_rows, bits).select(*ordered).distinct())
+    wide = named.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2)
+    roots = components(sure.union(similar(wide, nodes, docs, size, percent)))
+    # What is close to anything has a link, so no other fingerprint has to be looked at again.
+    ends = named.select(F.col("a").alias("fp")).union(named.select(F.col("b").alias("fp"))).distinct()
+    placed = durable(ends.join(roots, ends["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    rest = durable(pairs_apart(placed, bits, group_rows).join(wide, ["a", "b"], "left_anti"))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(similar(rest, nodes, docs, size, percent))
+
+
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
     """As ``near_duplicates``, with more links: fingerprints up to ``bits`` apart whose texts are similar by shingles.
 
     Beyond two bits a fingerprint alone can't tell near copies from texts that
     share passages, so those links are checked on the texts (Jaccard similarity
-    of the sets of ``size``-word shingles, ``percent`` or more). What is checked
-    are the links that an index group's forest names, not every pair in it: a
-    near copy whose only links there fail the check stays apart.
+    of the sets of ``size``-word shingles, ``percent`` or more).
     """
     marked = durable(fingerprints(docs))
     nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    sure = durable(links(nodes, group_rows))
-    wide = links(nodes, group_rows, bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    wide = durable(wide.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2).distinct())
-    return _grouped(marked, nodes, sure.union(similar(wide, nodes, docs, size, percent)))
+    return _grouped(marked, nodes, similar_links(nodes, docs, size, percent, bits, group_rows))
