@@ -9,7 +9,8 @@ own check (digit counts, the Luhn sum) and overlaps nothing that a pattern found
 The field is trained here, by gradient ascent on the likelihood of a small
 labelled table of words. Words without a digit, plus or at sign are outside any
 entity by definition, so Viterbi decoding falls apart into short runs of the
-other words, exactly; runs are decoded in numpy batches of equal length.
+other words, exactly; short runs are decoded in numpy batches of equal length,
+longer ones whole and one by one.
 
 Cases: null text counts as empty and has no spans. Texts are read whole; every
 scan is linear. Spans are of code points, the end exclusive. Repeated rows are
@@ -131,12 +132,16 @@ def runs(text: str) -> list[list[tuple[int, int, str]]]:
     return out
 
 
-def features(shapes: list[str], cues: list[str], i: int) -> list[str]:
-    """Names of the features of word i of a run."""
+def cue_of(cues: list[str]) -> str:
+    """The cue of a run: the first that one of its words has."""
+    return next((c for c in cues if c and c != "run"), "")
+
+
+def features(shapes: list[str], first: str, i: int) -> list[str]:
+    """Names of the features of word i of a run with the cue ``first``."""
     before = shapes[i - 1] if i else "^"
     after = shapes[i + 1] if i + 1 < len(shapes) else "$"
     digits = sum(c == "d" for c in shapes[i])
-    first = next((c for c in cues if c and c != "run"), "")
     return [f"s={shapes[i]}", f"p={before}", f"n={after}", f"sp={before}|{shapes[i]}", f"sn={shapes[i]}|{after}", f"cue={first}", f"cs={first}|{shapes[i]}", f"d={min(digits, 9)}", "at" if "@" in shapes[i] else "no", "bias"]
 
 
@@ -145,14 +150,14 @@ class Field:
 
     def __init__(self, table: list[tuple[list[str], list[str], list[str]]], steps: int = 150, rate: float = 0.15, l2: float = 1e-3) -> None:
         """``table``: (shapes, cues, labels) of each labelled run."""
-        names = sorted({f for s, c, _ in table for i in range(len(s)) for f in features(s, c, i)})
+        names = sorted({f for s, c, _ in table for i in range(len(s)) for f in features(s, cue_of(c), i)})
         self.index = {f: i for i, f in enumerate(names)}
         k, n, t = len(LABELS), len(table), max(len(s) for s, _, _ in table)
         hot = np.zeros((n, t, len(names)), np.float32)
         gold, size = np.zeros((n, t), np.int64), np.array([len(s) for s, _, _ in table])
         for r, (s, c, labels) in enumerate(table):
             for i in range(len(s)):
-                hot[r, i, [self.index[f] for f in features(s, c, i)]] = 1
+                hot[r, i, [self.index[f] for f in features(s, cue_of(c), i)]] = 1
                 gold[r, i] = LABELS.index(labels[i])
         inside = np.arange(t)[None] < size[:, None]
         emit, move = np.zeros((len(names), k)), np.zeros((k + 1, k))  # the last row of moves: from the start
@@ -188,9 +193,27 @@ class Field:
                 w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         self.emit, self.move = emit, move
 
-    def score(self, shapes: list[str], cues: list[str]) -> np.ndarray:
-        """Emission scores of the words of a run."""
-        return np.array([self.emit[[j for f in features(shapes, cues, i) if (j := self.index.get(f)) is not None]].sum(0) for i in range(len(shapes))])
+    def score(self, shapes: list[str], cues: list[str], start: int = 0, end: int | None = None) -> np.ndarray:
+        """Emission scores of the words of a run, or of those from ``start`` to ``end``."""
+        first = cue_of(cues)
+        return np.array([self.emit[[j for f in features(shapes, first, i) if (j := self.index.get(f)) is not None]].sum(0) for i in range(start, len(shapes) if end is None else min(end, len(shapes)))])
+
+    def decode(self, shapes: list[str], cues: list[str], part: int = 1024) -> list[int]:
+        """Best labels of one run of any length: words are scored in parts, and only the steps back are kept."""
+        k, best = len(LABELS), None
+        back = np.zeros((len(shapes), k), np.int8)
+        for at in range(0, len(shapes), part):
+            for i, score in enumerate(self.score(shapes, cues, at, at + part), at):
+                if best is None:
+                    best = score + self.move[k]
+                else:
+                    step = best[:, None] + self.move[:k]
+                    back[i] = step.argmax(0)
+                    best = step.max(0) + score
+        out = [int(best.argmax())]
+        for i in range(len(shapes) - 1, 0, -1):
+            out.append(int(back[i, out[-1]]))
+        return out[::-1]
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
         """Best labels of runs of one length: (runs, words, labels) to (runs, words)."""
@@ -295,6 +318,10 @@ def _entity(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
     return (start, end, kind) if ok else None
 
 
+#: Words of the longest runs that are decoded together with others of their length, and whose scores are kept.
+TOGETHER = 64
+
+
 class Finder:
     """Finds all spans of batches of texts."""
 
@@ -307,23 +334,30 @@ class Finder:
         base = [base_spans(t) for t in texts]
         added: list[list] = [[] for _ in texts]
         by_length: dict[int, list] = {}
+        words = lambda k, run: [shape(texts[k][a:b].rstrip(".,;:!?")) for a, b, _ in run]
+        cues = lambda run: [c for _, _, c in run]
+
+        def take(k, run, labels):
+            i = 0
+            while i < len(run):
+                label, j = LABELS[labels[i]], i + 1
+                if label[0] == "B":
+                    while j < len(run) and LABELS[labels[j]] == f"I-{label[2:]}":
+                        j += 1
+                    if span := _entity(texts[k], run[i][0], run[j - 1][1], label[2:]):
+                        added[k].append(span)
+                i = j
+
         for k, text in enumerate(texts):
             for run in runs(text):
-                for at in range(0, len(run), 64):  # long runs of numbers are decoded in parts
-                    part = run[at : at + 64]
-                    by_length.setdefault(len(part), []).append((k, part))
+                if len(run) <= TOGETHER:
+                    by_length.setdefault(len(run), []).append((k, run))
+                else:
+                    take(k, run, self.field.decode(words(k, run), cues(run)))
         for found in by_length.values():
-            scores = np.array([self.score(tuple(shape(texts[k][a:b].rstrip(".,;:!?")) for a, b, _ in run), tuple(c for _, _, c in run)) for k, run in found])
+            scores = np.array([self.score(tuple(words(k, run)), tuple(cues(run))) for k, run in found])
             for (k, run), labels in zip(found, self.field.viterbi(scores).tolist(), strict=True):
-                i = 0
-                while i < len(run):
-                    label, j = LABELS[labels[i]], i + 1
-                    if label[0] == "B":
-                        while j < len(run) and LABELS[labels[j]] == f"I-{label[2:]}":
-                            j += 1
-                        if span := _entity(texts[k], run[i][0], run[j - 1][1], label[2:]):
-                            added[k].append(span)
-                    i = j
+                take(k, run, labels)
         out = []
         for mine, more in zip(base, added, strict=True):
             taken = merged(mine)
