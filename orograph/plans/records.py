@@ -39,6 +39,11 @@ def latest_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).orderBy(F.desc("created"), "task_id").limit(100).select("task_id", "status", "created")
 
 
+@query(f"{TASKS} SELECT task_id, status, created FROM tasks ORDER BY created DESC, task_id")
+def task_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks(spark, sf_dir).orderBy(F.desc("created"), "task_id").select("task_id", "status", "created")
+
+
 @query(f"{TASKS} SELECT dem_id, count(*) AS tasks, count(*) FILTER (status = 'pending') AS active FROM tasks GROUP BY dem_id")
 def dem_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).groupBy("dem_id").agg(F.count("*").alias("tasks"), F.count_if(F.col("status") == "pending").alias("active"))
