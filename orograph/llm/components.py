@@ -2,9 +2,10 @@
 
 Each round hangs every node on the smallest node it sees (large star), then
 every node's smaller neighbours on the smallest of them (small star); the number
-of rounds grows with the logarithm of the longest path. Only minima per node are
-shuffled, with partial aggregation, so a node with many links is no hot key, and
-every round is written to the shared checkpoint folder.
+of rounds grows with the logarithm of the longest path. The links of a node are
+dealt to up to 1,024 parts, each joined with its own copy of the node's minimum,
+so a node with many links is no hot key. Every round is written to the shared
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ def _spanning(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], names=["a", "b"])
 
 
-def _hang(links: DataFrame, both_ways: bool) -> DataFrame:
-    """One star step over links (a > b)."""
+def _hang(links: DataFrame, both_ways: bool, parts: int = 1024) -> DataFrame:
+    """One star step over links (a > b). A node's links are dealt to parts, so that a hub is no one task's work."""
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else links
-    least = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
-    moved = ends.join(least, "a")
+    ends = ends.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
+    partial = ends.groupBy("a", "part").agg(F.min("b").alias("low"))
+    least = partial.groupBy("a").agg(F.least(F.col("a"), F.min("low")).alias("least"))
+    spread = partial.select("a", "part").join(least, "a")  # at most ``parts`` rows a node
+    moved = ends.join(spread, ["a", "part"])
     if both_ways:
         moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:

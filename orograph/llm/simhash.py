@@ -12,8 +12,13 @@ pairs; a group of more than ``group_rows`` is not compared inside a task but
 passed on, and its fingerprints meet instead on variants with two of the 64 bits
 wiped out, whose groups hold four fingerprints at most. So work stays linear in
 the number of fingerprints and no link is lost. Components come from links by
-star contraction in the shared checkpoint folder. ``near_copies`` cuts more
-segments, reaches further and checks what is beyond two bits on the texts.
+star contraction in the shared checkpoint folder.
+
+``near_copies`` reaches further and checks the texts. Its keys wipe out whole
+segments instead of single bits: of ``bits`` + ``kept`` segments at least ``kept``
+are equal in two fingerprints at most ``bits`` apart, so every choice of ``kept``
+of them is a key. ``kept`` grows with the number of fingerprints, so that groups
+do not grow with it; the pairs found are the same.
 
 Cases: null and empty texts, and texts of white space, have no words and
 fingerprint zero, and link like any other fingerprint. Texts of one or two words
@@ -24,6 +29,9 @@ half the shingles) leave it 0.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,17 +62,23 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(marks)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, whole: bool = False) -> DataFrame:
+    """doc_id and its fingerprint as a signed long; with ``whole`` also ``same``, a hash of all its words in order."""
+    schema = "doc_id long, fp long" + ", same long" * whole
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            values = [fingerprint(t.as_py() or b"", size, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            texts = [t.as_py() or b"" for t in batch.column(1)]
+            values = [[fingerprint(t, size, seed) for t in texts]]
+            if whole:
+                values.append([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), seed) for t in texts])
+            cols = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "fp", "same"][: 1 + len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def _forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -162,31 +176,12 @@ def _met(keyed: DataFrame, bits: int, group_rows: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_index_links(bits, group_rows), "a long, b long, key long")
 
 
-def _dealt(keyed: DataFrame) -> DataFrame:
-    """Rows (key, fp, many) with a ``block`` for every two of the ``many`` parts of a group."""
-    dealt = keyed.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("many")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    return dealt.withColumn("block", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-
-
-def _in_blocks(large: DataFrame, bits: int, group_rows: int) -> DataFrame:
-    """Links of groups (key, fp) too large for a task: every two blocks of a group meet in a task of their own."""
-    many = large.groupBy("key").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("many"))
-    dealt = _dealt(large.join(many, "key"))
-    return _met(dealt.select(F.col("block").alias("key"), "fp"), bits, 1 << 62).select("a", "b")
-
-
 def links(nodes: DataFrame, group_rows: int = GROUP_ROWS, bits: int = 2) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints ``fp`` at ``bits`` or fewer bits apart.
-
-    ``bits`` // 2 + 1 segments are cut, so that one of them differs by one bit at most.
-    """
-    met = durable(_met(nodes.select(F.explode(_variants(F.col("fp"), bits // 2 + 1)).alias("key"), "fp"), bits, group_rows))
+    """Links (a, b) that join all distinct fingerprints ``fp`` at ``bits`` (2 at most) or fewer bits apart."""
+    met = durable(_met(nodes.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp"), bits, group_rows))
     near = met.where("b is not null").select("a", "b").distinct()
-    large = met.where("b is null").select("key", F.col("a").alias("fp"))
-    if bits > 2:
-        return near.union(_in_blocks(large, bits, group_rows))
-    wiped = large.select("fp").distinct().mapInArrow(_two_wiped, "pair int, key long, fp long")
+    large = met.where("b is null").select(F.col("a").alias("fp")).distinct()
+    wiped = large.mapInArrow(_two_wiped, "pair int, key long, fp long")
     fewest = wiped.groupBy("pair", "key").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     rest = fewest.select(F.explode("all").alias("a"), "b").where("a <> b")
     return near.union(rest)
@@ -202,117 +197,225 @@ def _shingles(text: Column, size: int) -> Column:
     return F.array_distinct(F.get(each, F.lit(0)))
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The links (a, b) whose texts, those of the ``least`` ids of their fingerprints, have shingle sets as similar as asked.
+def similar(pairs: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts have shingle sets as similar as asked.
 
-    Texts are read only for fingerprints that have a link, and compared in the row.
+    Texts are read only for documents of a pair, and compared in the row.
     """
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sets = ends.join(nodes, "fp").join(texts, "least").select("fp", _shingles(F.col("text"), size).alias("set"))
-    sets = durable(sets.groupBy("fp").agg(F.max("set").alias("set")))  # rows may be repeated under one id
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sets = ends.join(texts, "node").select("node", _shingles(F.col("text"), size).alias("set"))
+    sets = durable(sets.groupBy("node").agg(F.max("set").alias("set")))  # rows may be repeated under one id
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    few, many = F.least(F.size("set_a"), F.size("set_b")), F.greatest(F.size("set_a"), F.size("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    return both.where((100 * few >= percent * many) & (100 * common >= percent * (few + many - common))).select("a", "b")
 
 
-def _grouped(marked: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id of marked documents under links between fingerprints."""
-    roots = components(linked)
+def near_duplicates(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
+    marked = durable(fingerprints(docs))
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(nodes, group_rows))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = placed.join(least, "root").select("fp", "component_id")
+    of_fp = durable(placed.join(least, "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(of_fp, "fp").select("doc_id", hexed, "component_id")
 
 
-def near_duplicates(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
-    marked = durable(fingerprints(docs))
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return _grouped(marked, nodes, links(nodes, group_rows))
+def _cuts(bits: int, kept: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the segments: as many more than ``kept`` as bits may differ."""
+    ends = [64 * i // (bits + kept) for i in range(bits + kept + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
 
+def kept_segments(bits: int, nodes: int) -> int:
+    """How many segments a key keeps: what asks for least work at this number of fingerprints.
 
-def _index_pairs(bits: int):
-    """For rows (key, fp, root) in key order: every two close fingerprints (a, b) of a key's group with different roots."""
+    More segments make more keys a fingerprint (a microsecond or two each) and
+    smaller groups (a nanosecond a comparison). What is found is the same.
+    """
+
+    def work(kept: int) -> float:
+        group = nodes / 2 ** (64 * kept / (bits + kept))
+        return math.comb(bits + kept, kept) * (2.0 + group / 2000)
+
+    return min(range(2, 7), key=work)
+
+
+def _by_segments(nodes: DataFrame, bits: int, kept: int) -> DataFrame:
+    """Rows (key, node, fp, root) of each fingerprint under each choice of ``kept`` segments, the others wiped out.
+
+    The number of the choice is in the key's upper bits.
+    """
+    cuts = _cuts(bits, kept)
+    choices = list(combinations(range(len(cuts)), kept))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fps = part.column("fp").to_numpy().view(np.uint64)
+                parts = [(fps >> np.uint64(low)) & np.uint64((1 << width) - 1) for low, width in cuts]
+                keys = np.empty((len(choices), len(fps)), np.int64)
+                for number, chosen in enumerate(choices):
+                    key, place = np.full(len(fps), number << 48, np.uint64), 0
+                    for i in chosen:
+                        key |= parts[i] << np.uint64(place)
+                        place += cuts[i][1]
+                    keys[number] = key.view(np.int64)
+                many = np.tile(np.arange(len(fps)), len(choices))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(part.column(c).take(pa.array(many)) for c in ("node", "fp", "root"))], names=["key", "node", "fp", "root"])
+
+    return nodes.select("node", "fp", "root").mapInArrow(run, "key long, node long, fp long, root long")
+
+
+def _groups(batches, columns: int):
+    """(key, rows) for rows of longs sorted by their first column, whatever batch they come in."""
+    held, held_key = [], None
+    for batch in batches:
+        keys, rows = batch.column(0).to_numpy(), np.column_stack([batch.column(i).to_numpy() for i in range(1, columns)])
+        edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)].tolist()
+        for low, high in zip(edges, edges[1:], strict=False):
+            if low == high:
+                continue
+            if held and keys[low] != held_key:
+                yield held_key, np.concatenate(held) if len(held) > 1 else held[0]
+                held = []
+            held_key = int(keys[low])
+            held.append(rows[low:high])
+    if held:
+        yield held_key, np.concatenate(held)
+
+
+def _leaders(bits: int):
+    """For rows (key, node, fp) in this order: links (a, b) of nodes to the first node of a key's group, where close to it."""
 
     def run(batches):
         import pyarrow as pa
 
-        def told(group):
-            values, roots = group[:, 0].view(np.uint64), group[:, 1]
-            for i in range(len(group) - 1):
-                near = 1 + i + np.flatnonzero((np.bitwise_count(values[i + 1 :] ^ values[i]) <= bits) & (roots[i + 1 :] != roots[i]))
-                if len(near):
-                    other = group[near, 0]
-                    yield np.minimum(other, group[i, 0]), np.maximum(other, group[i, 0])
-
-        def groups():
-            held, held_key = [], None  # of the group that goes on in the next batch
-            for batch in batches:
-                keys, rows = batch.column(0).to_numpy(), np.column_stack([batch.column(i).to_numpy() for i in (1, 2)])
-                edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)].tolist()
-                for low, high in zip(edges, edges[1:], strict=False):
-                    if low == high:
-                        continue
-                    if held and keys[low] != held_key:
-                        yield np.concatenate(held)
-                        held = []
-                    held_key = keys[low]
-                    held.append(rows[low:high])
-            if held:
-                yield np.concatenate(held)
-
-        record = lambda found: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-        found, rows = [], 0
-        for group in groups():
-            for pair in told(group):
-                found.append(pair)
-                rows += len(pair[0])
-                if rows >= 1 << 16:
-                    yield record(found)
-                    found, rows = [], 0
-        if found:
-            yield record(found)
+        key, leader, mark = None, 0, 0
+        for batch in batches:
+            keys, nodes, fps = (batch.column(i).to_numpy() for i in range(3))
+            if not len(keys):
+                continue
+            first = np.r_[True, keys[1:] != keys[:-1]]
+            start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+            lead, marks = nodes[start], fps[start]
+            if keys[0] == key:
+                lead[start == 0], marks[start == 0] = leader, mark
+            key, leader, mark = keys[-1], lead[-1], marks[-1]
+            near = (nodes != lead) & (np.bitwise_count((fps ^ marks).view(np.uint64)) <= bits)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[near]), pa.array(lead[near])], names=["a", "b"])
 
     return run
 
 
-def pairs_apart(rows: DataFrame, bits: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Every pair (a < b) of fingerprints at ``bits`` or fewer bits apart, of rows (fp, root) with different roots."""
-    keyed = rows.select(F.explode(_variants(F.col("fp"), bits // 2 + 1)).alias("key"), "fp", "root")
-    mixed = keyed.groupBy("key").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where("low <> high").select("key", "many")
-    dealt = _dealt(keyed.join(mixed, "key")).select("block", "fp", "root")
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_index_pairs(bits), "a long, b long").distinct()
+def _close_pairs(bits: int, kept: int, group_rows: int | None):
+    """For rows (key, node, fp, root) in key order: pairs (a, b) of close nodes with different roots.
+
+    A pair is told only under the first choice of segments that both share. Rows
+    of a group of more than ``group_rows`` are passed on in the other columns.
+    """
+    lows = [a for a, _ in _cuts(bits, kept)]
+    numbers = {c: i for i, c in enumerate(combinations(range(bits + kept), kept))}
+
+    def told(key, rows):
+        nodes, fps, roots = rows[:, 0], np.ascontiguousarray(rows[:, 1]).view(np.uint64), rows[:, 2]
+        for at in range(0, len(rows), 256):
+            part = fps[at : at + 256]
+            apart = part[:, None] ^ fps[None, at:]
+            near = (np.bitwise_count(apart) <= bits) & (roots[at : at + 256, None] != roots[None, at:])
+            i, j = np.nonzero(np.triu(near, 1))
+            if len(i):
+                equal = np.add.reduceat(np.unpackbits(apart[i, j].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1], lows, axis=1) == 0
+                mine = [k for k, e in enumerate(equal) if numbers[tuple(np.flatnonzero(e)[:kept].tolist())] == key >> 48]
+                if mine:
+                    a, b = nodes[at + i[mine]], nodes[at + j[mine]]
+                    yield np.minimum(a, b), np.maximum(a, b)
 
+    def run(batches):
+        import pyarrow as pa
 
-def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) that join all fingerprints of ``nodes`` (fp, least) two bits apart, and those up to ``bits`` apart whose texts are similar.
+        def record(found, large):
+            n, m = sum(len(a) for a, _ in found), sum(len(r) for _, r in large)
+            pairs = [np.concatenate([f[c] for f in found]) if n else np.zeros(0, np.int64) for c in (0, 1)]
+            others = [np.concatenate([np.full(len(r), k) for k, r in large]), *np.concatenate([r for _, r in large]).T] if m else [np.zeros(0, np.int64)] * 4
+            cols = [pa.concat_arrays([pa.array(p, pa.int64()), pa.nulls(m, pa.int64())]) for p in pairs]
+            cols += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(o, pa.int64())]) for o in others]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "node", "fp", "root"])
+
+        found, large, rows = [], [], 0
+        for key, group in _groups(batches, 4):
+            if len(group) == 1 or (group[:, 2] == group[0, 2]).all():
+                continue
+            if group_rows and len(group) > group_rows:
+                large.append((key, group))
+                rows += len(group)
+            else:
+                for pair in told(key, group):
+                    found.append(pair)
+                    rows += len(pair[0])
+            if rows >= 1 << 16:
+                yield record(found, large)
+                found, large, rows = [], [], 0
+        if found or large:
+            yield record(found, large)
 
-    First the links that the forests of the index groups name are checked. That
-    leaves out pairs whose ends a forest joins only by links that fail, so then
-    all pairs are checked whose ends are in different components so far.
+    return run
+
+
+_MET = "a long, b long, key long, node long, fp long, root long"
+
+
+def close_pairs(nodes: DataFrame, bits: int, kept: int, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
+    """Every pair (a < b) of nodes (node, fp, root) with fingerprints up to ``bits`` apart and different roots."""
+    met = durable(_by_segments(nodes, bits, kept).repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs(bits, kept, group_rows), _MET))
+    # Of a large group every two parts meet in a task of their own.
+    large = met.where("a is null").select("key", "node", "fp", "root")
+    many = large.groupBy("key").agg(F.ceil(2 * F.count("*") / group_rows).cast("int").alias("many"))
+    dealt = large.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    # The number of the choice of segments stays in the key's upper bits, which tell repeated pairs.
+    body = F.pmod(F.xxhash64("key", "low", "high"), F.lit(1 << 48))
+    dealt = dealt.select(F.shiftright("key", 48).alias("number"), body.alias("body"), "node", "fp", "root").select(F.shiftleft("number", 48).bitwiseOR(F.col("body")).alias("key"), "node", "fp", "root")
+    rest = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs(bits, kept, None), _MET)
+    return met.where("a is not null").select("a", "b").union(rest.select("a", "b")).distinct()
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 10, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
+    """Links (a, b) that join all nodes (node, fp) whose fingerprints are up to ``bits`` apart and whose texts are similar.
+
+    First nodes are checked against the first node of the groups they meet it in,
+    which joins most of a large group of copies without telling its pairs. Then
+    all pairs are checked whose ends are in different components so far. So no
+    pair is left out, and the first step changes only the work.
     """
-    sure = durable(links(nodes, group_rows))
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    named = durable(links(nodes, group_rows, bits).select(*ordered).distinct())
-    wide = named.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2)
-    roots = components(sure.union(similar(wide, nodes, docs, size, percent)))
-    # What is close to anything has a link, so no other fingerprint has to be looked at again.
-    ends = named.select(F.col("a").alias("fp")).union(named.select(F.col("b").alias("fp"))).distinct()
-    placed = durable(ends.join(roots, ends["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    rest = durable(pairs_apart(placed, bits, group_rows).join(wide, ["a", "b"], "left_anti"))
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(similar(rest, nodes, docs, size, percent))
-
-
-def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """As ``near_duplicates``, with more links: fingerprints up to ``bits`` apart whose texts are similar by shingles.
-
-    Beyond two bits a fingerprint alone can't tell near copies from texts that
-    share passages, so those links are checked on the texts (Jaccard similarity
-    of the sets of ``size``-word shingles, ``percent`` or more).
+    kept = kept or kept_segments(bits, nodes.count())
+    wide = 64 // 6
+    keys = F.array(*(F.shiftrightunsigned("fp", wide * i).bitwiseAND(F.lit((1 << wide) - 1).cast("long")).bitwiseOR(F.lit(i << 48).cast("long")) for i in range(6)))
+    led = nodes.select(F.explode(keys).alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
+    named = durable(led.mapInArrow(_leaders(bits), "a long, b long").distinct())
+    roots = components(similar(named, docs, size, percent))
+    placed = durable(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
+    rest = durable(close_pairs(placed, bits, kept, group_rows).join(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(rest, docs, size, percent))
+
+
+def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 10, words: int = 2, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
+    """doc_id and component_id under links between documents whose texts are similar.
+
+    Equal texts (in their lower-cased words) are linked, and texts with a Jaccard
+    similarity of their sets of ``size``-word shingles of ``percent`` or more whose
+    fingerprints, here of ``words``-word shingles, are up to ``bits`` apart.
+    Documents without an id are left out.
     """
-    marked = durable(fingerprints(docs))
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return _grouped(marked, nodes, similar_links(nodes, docs, size, percent, bits, group_rows))
+    marked = durable(fingerprints(docs.where("doc_id is not null"), words, whole=True))
+    nodes = durable(marked.groupBy("fp", "same").agg(F.min("doc_id").alias("node")))
+    roots = components(similar_links(nodes.select("node", "fp"), docs, size, percent, bits, kept, group_rows))
+    placed = durable(nodes.join(roots, "node", "left").select("fp", "same", F.coalesce("root", "node").alias("component_id")))
+    return marked.join(placed, ["fp", "same"]).select("doc_id", "component_id")
