@@ -47,3 +47,17 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
     if start < len(texts):
         yield start, len(texts)
 
+
+def parts(batches, column: int, limit: int = CHUNK_CHARS):
+    """Arrow batches cut so that a text column holds about ``limit`` bytes in each; one longer text is a batch of its own."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = held = 0
+        for i, n in enumerate(sizes):
+            if held and held + n > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield batch.slice(start)

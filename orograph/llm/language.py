@@ -7,22 +7,30 @@ times the logarithm of the length of the language's text, per letter read, is
 the cross entropy; the language with the least of it wins.
 
 The automata are fitted on a bounded sample: per language up to ``sample_docs``
-labelled documents, those first in the order of a hash of (text, doc_id), of
-``max_chars`` characters at most each, until ``text_chars`` letters are reached. Prediction reads
-every text whole, in numpy, all languages and many segments of ``SEGMENT``
-characters at once; a phrase does not span two segments.
-
-Letters are lower-cased and everything else is a single separator, so digits,
-marks and junk weigh little. Cases: null text, and text without a letter, is
-``und`` with score 0. Where no labelled text was found, every text is ``und``.
-Very short texts are scored as they are. Ties go to the language first in the
-alphabet. Repeated rows are scored alike; other columns are ignored; an empty
-table gives no rows.
+different texts, those first in the order of a hash of the text, of ``max_chars``
+characters at most each, until ``text_chars`` letters are reached. Prediction
+reads every text whole, in numpy, all languages and many segments of ``SEGMENT``
+characters at once. Each segment is first parsed from its start; then the phrase
+that reaches into it from the segment before is followed until a phrase of both
+parses begins at one place, from where they agree. So the phrases are those of a
+parse of the whole text.
+
+Letters (of all of Unicode) are lower-cased, each by itself, and everything else
+is a single separator, so digits, marks and junk weigh little. The ``dense`` most
+frequent letters have columns in a table of transitions, the others, as of large
+alphabets, are looked up among the transitions that exist; letters that no
+language has are one letter. The table takes about 20 MB a language.
+
+Cases: null text, and text without a letter, is ``und`` with score 0. Where no
+labelled text was found, every text is ``und``. Very short texts are scored as
+they are. Ties go to the language first in the alphabet. Repeated rows are scored
+alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -34,10 +42,9 @@ SEGMENT = 512
 UNKNOWN = "und"
 
 
-def _automaton(code: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a coded text; 0 where there is none (the root is 0)."""
+def _automaton(code: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a coded text; the root is 0."""
     size = 2 * len(code) + 2
-    step = np.zeros((size, width), np.int32)
     link, length = [-1] * size, [0] * size
     count, last = 1, 0
     rows: list[dict[int, int]] = [{} for _ in range(size)]
@@ -64,48 +71,62 @@ def _automaton(code: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    for i in range(count):
-        for c, to in rows[i].items():
-            step[i, c] = to
-    return step[:count]
+    return rows[:count]
+
+
+@lru_cache(200_000)
+def letter(c: str) -> str:
+    """The letter that a character counts as, empty for what is none."""
+    return c.lower()[0] if c.isalpha() else ""
 
 
 class CrossParser:
     """The automata of all languages in one table of transitions, and the coding of letters."""
 
-    def __init__(self, texts: dict[str, str], width: int = 64) -> None:
-        self.languages = sorted(k for k, t in texts.items() if any(c.isalpha() for c in t))
-        lowered = {k: texts[k].lower() for k in self.languages}
+    def __init__(self, texts: dict[str, str], dense: int = 62) -> None:
+        self.languages = sorted(k for k, t in texts.items() if any(map(str.isalpha, t)))
         seen: dict[str, int] = {}
         for k in self.languages:
-            for c in lowered[k]:
-                if c.isalpha():
-                    seen[c] = seen.get(c, 0) + 1
-        kept = sorted(seen, key=lambda c: (-seen[c], c))[: width - 2]
+            for c in filter(None, map(letter, texts[k])):
+                seen[c] = seen.get(c, 0) + 1
+        ranked = sorted(seen, key=lambda c: (-seen[c], c))
         # 0: separator; 1: a letter that no language has; then letters by frequency.
-        self.code = {c: i + 2 for i, c in enumerate(kept)}
-        self.width = len(kept) + 2
-        tables, self.bits, starts, base = [], [], [], 0
+        self.code = {c: i + 2 for i, c in enumerate(ranked)}
+        self.width = min(len(ranked), dense) + 2
+        self.symbols = len(ranked) + 2
+        automata, self.bits, starts, base = [], [], [], 0
         for k in self.languages:
-            coded = self._runs(lowered[k])
-            step = _automaton(coded, self.width).astype(np.int64)
-            root = step[0]
-            # The root and dead ends start a phrase with the character at hand; odd entries mark that.
-            fresh = 2 * (root + base) * self.width + 1
-            at = np.where(step > 0, 2 * (step + base) * self.width, fresh[None, :])
-            at[0] = fresh
-            tables.append(at)
-            starts.append(base * self.width)
+            coded = self._runs(texts[k])
+            automata.append(_automaton(coded))
+            starts.append(base)
             self.bits.append(math.log2(max(2, len(coded))))
-            base += len(step)
-        self.table = np.concatenate(tables).reshape(-1).astype(np.int32) if tables else np.zeros(0, np.int32)
+            base += len(automata[-1])
+        # An entry is twice the state, odd where a phrase starts: at the root and at dead ends, with the symbol at hand.
+        self.table = np.zeros((base, self.width), np.int32 if 2 * base < 2**31 else np.int64)
+        rare: dict[int, int] = {}
+        self.fresh = np.zeros((len(automata), self.symbols), np.int64)
+        for k, (start, rows) in enumerate(zip(starts, automata, strict=True)):
+            fresh = np.full(self.symbols, 2 * start + 1, np.int64)
+            for c, to in rows[0].items():
+                fresh[c] = 2 * (to + start) + 1
+            self.fresh[k] = fresh
+            part = self.table[start : start + len(rows)]
+            part[:] = fresh[: self.width]
+            for i, row in enumerate(rows[1:], 1):
+                for c, to in row.items():
+                    if c < self.width:
+                        part[i, c] = 2 * (to + start)
+                    else:
+                        rare[(start + i) * self.symbols + c] = 2 * (to + start)
+        self.rare_keys = np.array(sorted(rare), np.int64)
+        self.rare_to = np.array([rare[k] for k in self.rare_keys.tolist()] + [-1], np.int64)
         self.starts = np.array(starts, np.int64)
         self.bits = np.array(self.bits)
 
     def _runs(self, text: str) -> list[int]:
         out, gap = [], True
-        for c in text:
-            if c.isalpha():
+        for c in map(letter, text):
+            if c:
                 out.append(self.code.get(c, 1))
                 gap = False
             elif not gap:
@@ -113,47 +134,100 @@ class CrossParser:
                 gap = True
         return out
 
-    def coder(self) -> np.ndarray:
-        """Class of each code point: 0 separator, 1 strange letter, 2 and up known letters; at the end, above."""
-        points = np.zeros(0x20001, np.uint8)
-        for i in range(0x20000):
-            if chr(i).isalpha():
-                points[i] = self.code.get(chr(i).lower()[0], 1)
-        return points
+    def points(self) -> np.ndarray:
+        """An empty table of the symbol of each code point, filled as they occur."""
+        return np.full(0x110000, -1, np.int32)
+
+    def coded(self, text: str, points: np.ndarray) -> np.ndarray:
+        """The symbol of each character: 0 separator, 1 strange letter, 2 and up known letters."""
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = points[raw]
+        if (code < 0).any():
+            for p in np.unique(raw[code < 0]).tolist():
+                c = letter(chr(p))
+                points[p] = self.code.get(c, 1) if c else 0
+            code = points[raw]
+        return code
+
+    def step(self, k: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The entry of each (language, state, symbol)."""
+        if self.symbols == self.width:
+            return self.table[state, symbol]
+        got = self.table[state, np.minimum(symbol, self.width - 1)]
+        at = np.flatnonzero(symbol >= self.width)
+        if len(at):
+            key = state[at] * self.symbols + symbol[at]
+            place = np.searchsorted(self.rare_keys, key)
+            place[place == len(self.rare_keys)] = 0
+            hit = self.rare_keys[place] == key if len(self.rare_keys) else np.zeros(len(at), bool)
+            got[at] = np.where(hit, self.rare_to[place], self.fresh[k[at], symbol[at]])
+        return got
+
+    def phrases(self, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases of each (text, language), for texts of the given sizes that lie one after another in ``code``."""
+        many, first = len(self.languages), np.cumsum(sizes) - sizes
+        parts = -(-sizes // SEGMENT)
+        of_part = np.repeat(np.arange(len(sizes)), parts)
+        nth = np.arange(len(of_part)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = first[of_part] + nth * SEGMENT
+        length = np.minimum(SEGMENT, sizes[of_part] - nth * SEGMENT)
+        end = np.repeat(self.starts[:, None], len(start), axis=1)
+        begun = np.zeros((many, len(code)), bool)
+        order = np.argsort(-length, kind="stable")
+        live = len(order)
+        states, k = end[:, order], np.repeat(np.arange(many)[:, None], live, axis=1)
+        for i in range(int(length.max(initial=0))):
+            while live and length[order[live - 1]] <= i:
+                live -= 1
+            at = start[order[:live]] + i
+            got = self.step(k[:, :live].reshape(-1), states[:, :live].reshape(-1), np.tile(code[at], many)).reshape(many, live)
+            begun[:, at] = got & 1
+            states[:, :live] = got >> 1
+        end[:, order] = states
+        begins = np.concatenate([np.zeros((many, 1), np.int64), np.cumsum(begun, axis=1)], axis=1)
+        count = begins[:, start + length] - begins[:, start]
+        # Follow what reaches into a segment; where it changes the segment's end, follow that into the next one.
+        fresh_end = end.copy()
+        ks, segments = np.nonzero(np.broadcast_to(nth > 0, (many, len(start))))
+        while len(ks):
+            state, seen = end[ks, segments - 1].copy(), np.zeros(len(ks), np.int64)
+            open_, total, i = np.arange(len(ks)), np.zeros(len(ks), np.int64), 0
+            last = fresh_end[ks, segments]
+            while len(open_):
+                at = start[segments[open_]] + i
+                got = self.step(ks[open_], state[open_], code[at])
+                met = (got & 1 > 0) & begun[ks[open_], at]
+                agreed = open_[met]
+                total[agreed] = seen[agreed] + begins[ks[agreed], start[segments[agreed]] + length[segments[agreed]]] - begins[ks[agreed], at[met]]
+                seen[open_] += got & 1
+                state[open_] = got >> 1
+                i += 1
+                over = ~met & (length[segments[open_]] == i)
+                ended = open_[over]
+                total[ended] = seen[ended]
+                last[ended] = state[ended]
+                open_ = open_[~met & ~over]
+            count[ks, segments] = total
+            changed = last != end[ks, segments]
+            ks, segments = ks[changed], segments[changed]
+            end[ks, segments] = last[changed]
+            on = np.r_[nth, 0][segments + 1] > 0  # a next segment of the same text
+            ks, segments = ks[on], segments[on] + 1
+        total = np.zeros((len(sizes), many))
+        for j in range(many):
+            total[:, j] = np.bincount(of_part, count[j], minlength=len(sizes))
+        return total
 
     def costs(self, texts: list[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text: letters read, and the cross entropy in each language."""
-        joined = "".join(texts)
-        code = points[np.minimum(np.frombuffer(joined.encode("utf-32-le"), np.uint32), 0x20000)]
+        code = self.coded("".join(texts), points)
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         keep = np.ones(len(code), bool)  # runs of separators become one
         keep[1:] = (code[1:] != 0) | (code[:-1] != 0) | (owner[1:] != owner[:-1])
         code, owner = code[keep], owner[keep]
         letters = np.bincount(owner[code != 0], minlength=len(texts))
         sizes = np.bincount(owner, minlength=len(texts))
-        first = np.cumsum(sizes) - sizes
-        parts = -(-sizes // SEGMENT)
-        of_part = np.repeat(np.arange(len(texts)), parts)
-        nth = np.arange(len(of_part)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = first[of_part] + nth * SEGMENT
-        length = np.minimum(SEGMENT, sizes[of_part] - nth * SEGMENT)
-        order = np.argsort(-length, kind="stable")
-        of_part, start, length = of_part[order], start[order], length[order]
-        many = len(self.languages)
-        state = np.repeat(self.starts[:, None], len(start), axis=1).astype(np.int64)
-        phrases = np.zeros((many, len(start)), np.int32)
-        live = len(start)
-        for i in range(int(length.max(initial=0))):
-            while live and length[live - 1] <= i:
-                live -= 1
-            symbol = code[start[:live] + i]
-            got = self.table[state[:, :live] + symbol]
-            phrases[:, :live] += got & 1
-            state[:, :live] = got >> 1
-        total = np.zeros((len(texts), many))
-        for k in range(many):
-            total[:, k] = np.bincount(of_part, phrases[k], minlength=len(texts)) * self.bits[k]
-        return letters, total / np.maximum(1, sizes)[:, None]
+        return letters, self.phrases(code, sizes) * self.bits / np.maximum(1, sizes)[:, None]
 
 
 def fit(labelled: DataFrame, sample_docs: int = 200, text_chars: int = 40_000, max_chars: int = 20_000) -> CrossParser:
@@ -163,12 +237,16 @@ def fit(labelled: DataFrame, sample_docs: int = 200, text_chars: int = 40_000, m
     characters a language; so many and no more reach the driver.
     """
     rows = labelled.where("text is not null and lang is not null").where(F.length("text") <= max_chars)
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text", "doc_id").alias("place"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("place"))
+    # Only hashes are ranked; then the few texts are fetched. Copies of a text are one.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    drawn = rows.select("lang", "place").distinct().withColumn("nth", nth).where(F.col("nth") <= sample_docs).collect()
+    places = labelled.sparkSession.createDataFrame([tuple(r) for r in drawn], "lang string, place long, nth int")
+    found = rows.join(F.broadcast(places), ["lang", "place"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))  # sample_docs rows a language
     texts: dict[str, list[str]] = {}
-    for row in rows.withColumn("nth", nth).where(F.col("nth") <= sample_docs).orderBy("lang", "nth").toLocalIterator():
+    for row in found.orderBy("lang", "nth").toLocalIterator():
         got = texts.setdefault(row["lang"], [])
-        if sum(map(len, got)) < text_chars and row["text"] not in got:
+        if sum(map(len, got)) < text_chars:
             got.append(row["text"])
     return CrossParser({k: " ".join(v)[: text_chars + max_chars] for k, v in texts.items()})
 
@@ -192,11 +270,11 @@ def identify(docs: DataFrame, parser: CrossParser, keep: bool = False, names: tu
         import pyarrow as pa
 
         parser = shared.value
-        points = parser.coder()
+        points = parser.points()
         told = np.array([*parser.languages, UNKNOWN], dtype=object)
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
-            for a, b in chunks(texts, 1_000_000):
+            for a, b in chunks(texts, 4_000_000 // max(4, len(parser.languages))):
                 letters, costs = parser.costs(texts[a:b], points)
                 if parser.languages:
                     best = np.argmin(costs, axis=1)

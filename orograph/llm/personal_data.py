@@ -15,7 +15,8 @@ longer ones whole and one by one.
 Cases: null text counts as empty and has no spans. Texts are read whole; every
 scan is linear. Spans are of code points, the end exclusive. Repeated rows are
 scanned alike; other columns are ignored (redaction keeps them); an empty table
-gives no rows.
+gives no rows. Of equally good labels Viterbi takes those first in ``LABELS``. A
+word's shape and the word before a run are read in full however long they are.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orograph.llm.common import parts
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
@@ -87,7 +90,7 @@ CUES = {"tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobi
 def shape(word: str) -> str:
     """Letters as one a, digits as a d each up to four and then their rough number; other characters as they are."""
     out, i = [], 0
-    while i < len(word) and len(out) < 24:
+    while i < len(word):
         c, j = word[i], i
         if "0" <= c <= "9":
             while j < len(word) and "0" <= word[j] <= "9":
@@ -125,7 +128,7 @@ def runs(text: str) -> list[list[tuple[int, int, str]]]:
             out[-1].append((start, end, "run"))
         else:
             word = gap
-            while word > done and gap - word < 12 and text[word - 1] not in _SPACE:
+            while word > done and text[word - 1] not in _SPACE:
                 word -= 1
             out.append([(start, end, CUES.get(text[word:gap].lower().strip(".,:;()"), "") if start - gap <= 2 else "")])
         done = end
@@ -153,15 +156,26 @@ class Field:
         names = sorted({f for s, c, _ in table for i in range(len(s)) for f in features(s, cue_of(c), i)})
         self.index = {f: i for i, f in enumerate(names)}
         k, n, t = len(LABELS), len(table), max(len(s) for s, _, _ in table)
-        hot = np.zeros((n, t, len(names)), np.float32)
+        found: list[tuple[int, int, int]] = []  # (run, word, feature)
         gold, size = np.zeros((n, t), np.int64), np.array([len(s) for s, _, _ in table])
         for r, (s, c, labels) in enumerate(table):
             for i in range(len(s)):
-                hot[r, i, [self.index[f] for f in features(s, cue_of(c), i)]] = 1
+                found += [(r, i, self.index[f]) for f in features(s, cue_of(c), i)]
                 gold[r, i] = LABELS.index(labels[i])
         inside = np.arange(t)[None] < size[:, None]
         emit, move = np.zeros((len(names), k)), np.zeros((k + 1, k))  # the last row of moves: from the start
-        want_emit = np.einsum("ntf,ntk->fk", hot * inside[..., None], np.eye(k)[gold])
+        # Features in order of their words for scores, and in their own order for slopes; every word and feature occurs.
+        run_of, word_of, feature = np.array(found).T
+        place = run_of * t + word_of
+        first_of_word = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        by_feature = np.argsort(feature, kind="stable")
+        first_of_feature = np.flatnonzero(np.r_[True, np.diff(feature[by_feature]) > 0])
+        words = place[first_of_word]
+
+        def summed(node: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(node.reshape(n * t, k)[place[by_feature]], first_of_feature)
+
+        want_emit = summed(np.eye(k)[gold])
         want_move = np.zeros((k + 1, k))
         np.add.at(want_move, (np.full(n, k), gold[:, 0]), 1)
         for i in range(1, t):
@@ -169,7 +183,9 @@ class Field:
             np.add.at(want_move, (gold[on, i - 1], gold[on, i]), 1)
         moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (emit, move)]
         for step in range(1, steps + 1):
-            score = hot @ emit
+            score = np.zeros((n * t, k))
+            score[words] = np.add.reduceat(emit[feature], first_of_word)
+            score = score.reshape(n, t, k)
             alpha = np.zeros((n, t, k))
             beta = np.zeros((n, t, k))
             alpha[:, 0] = score[:, 0] + move[k]
@@ -186,7 +202,7 @@ class Field:
             for i in range(1, t):
                 pair = np.exp(alpha[:, i - 1, :, None] + move[None, :k] + (score[:, i] + beta[:, i])[:, None, :] - z[:, None, None])
                 got_move[:k] += (pair * inside[:, i, None, None]).sum(0)
-            slopes = [(want_emit - np.einsum("ntf,ntk->fk", hot, node)) / n - l2 * emit, (want_move - got_move) / n - l2 * move]
+            slopes = [(want_emit - summed(node)) / n - l2 * emit, (want_move - got_move) / n - l2 * move]
             for w, g, (m, v) in zip((emit, move), slopes, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -245,6 +261,11 @@ def labelled_words(seed: int = 5, copies: int = 12) -> list[tuple[int, int, str,
         ("phone", "phone", lambda: [d(3), d(3), d(4)]),
         ("phone", "phone", lambda: [d(4), d(7)]),
         ("phone", "", lambda: [f"+{d(2)}", d(2), d(4), d(4)]),
+        ("phone", "phone", lambda: [f"{d(4)}-{d(7)}"]),
+        ("phone", "phone", lambda: [f"{d(3)}-{d(8)}"]),
+        ("phone", "phone", lambda: [f"({d(4)})", d(7)]),
+        ("phone", "phone", lambda: [d(2), d(2), d(2), d(2), d(2)]),
+        ("phone", "phone", lambda: [d(10)]),
         ("card", "", lambda: [d(16)]),
         ("card", "", lambda: [d(4), d(4), d(4), d(4)]),
         ("card", "", lambda: ["-".join(d(4) for _ in range(4))]),
@@ -265,6 +286,12 @@ def labelled_words(seed: int = 5, copies: int = 12) -> list[tuple[int, int, str,
         (None, "", lambda: [d(draw.randint(5, 11))]),
         (None, "", lambda: [d(20)]),
         (None, "", lambda: [f'"{d(3)}{name()}{d(4)}{name()}"']),
+        (None, "", lambda: [d(3), d(3)]),
+        (None, "", lambda: [d(2), d(2), d(2)]),
+        (None, "", lambda: [f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}"]),
+        (None, "", lambda: [f"{d(2)}.{d(3)},{d(2)}"]),
+        (None, "", lambda: [f"{d(4)}-{d(6)}"]),
+        (None, "card", lambda: [f"{d(2)}/{d(2)}"]),
         (None, "", lambda: [f"@{name()}"]),
         (None, "", lambda: [f"({d(4)})"]),
         (None, "", lambda: [d(3), d(3), d(4)]),
@@ -273,13 +300,16 @@ def labelled_words(seed: int = 5, copies: int = 12) -> list[tuple[int, int, str,
         (None, "", lambda: ["+"]),
     ]
     out, run = [], 0
-    for _ in range(copies):
+    others = [f for f in forms if f[0] is None and not f[1]]
+    for copy in range(copies):
         for kind, cue, words in forms:
             words = words()
             tail = draw.choice(["", "", "", ",", "."]) if kind else ""
-            for i, w in enumerate(words):
-                label = "O" if kind is None else f"{'I' if i else 'B'}-{kind}"
-                out.append((run, i, w + tail * (i == len(words) - 1), cue if i == 0 else "run", label))
+            labelled = [(w + tail * (i == len(words) - 1), "O" if kind is None else f"{'I' if i else 'B'}-{kind}") for i, w in enumerate(words)]
+            if copy % 2:  # inside a longer run
+                before, after = ([(w, "O") for w in draw.choice(others)[2]()] for _ in range(2))
+                labelled = [*before, *labelled, *after]
+            out += [(run, i, w, "run" if i else cue, label) for i, (w, label) in enumerate(labelled)]
             run += 1
     return out
 
@@ -327,7 +357,11 @@ class Finder:
 
     def __init__(self, field: Field) -> None:
         self.field = field
-        self.score = lru_cache(100_000)(lambda shapes, cues: field.score(list(shapes), list(cues)))
+        self.kept = lru_cache(100_000)(lambda shapes, cues: field.score(list(shapes), list(cues)))
+
+    def score(self, shapes: list[str], cues: list[str]) -> np.ndarray:
+        """Scores of a run, kept for the next like it unless its shapes are long."""
+        return self.kept(tuple(shapes), tuple(cues)) if sum(map(len, shapes)) <= 400 else self.field.score(shapes, cues)
 
     def __call__(self, texts: list[str]) -> list[tuple[list, list]]:
         """(base spans, all spans) of each text."""
@@ -355,7 +389,7 @@ class Finder:
                 else:
                     take(k, run, self.field.decode(words(k, run), cues(run)))
         for found in by_length.values():
-            scores = np.array([self.score(tuple(words(k, run)), tuple(cues(run))) for k, run in found])
+            scores = np.array([self.score(words(k, run), cues(run)) for k, run in found])
             for (k, run), labels in zip(found, self.field.viterbi(scores).tolist(), strict=True):
                 take(k, run, labels)
         out = []
@@ -393,7 +427,7 @@ def found(docs: DataFrame, field: Field) -> DataFrame:
         import pyarrow as pa
 
         find = Finder(field)
-        for batch in batches:
+        for batch in parts(batches, 1):
             results = find([t or "" for t in batch.column(1).to_pylist()])
             counts = [pa.array([sum(s[2] == k for s in mine) for mine, _ in results], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(_told(mine).encode()).hexdigest() for mine, _ in results], pa.string())
@@ -421,7 +455,7 @@ def redacted(docs: DataFrame, field: Field) -> DataFrame:
         import pyarrow as pa
 
         find = Finder(field)
-        for batch in batches:
+        for batch in parts(batches, place):
             texts = batch.column(place).to_pylist()
             results = find([t or "" for t in texts])
             new = [t if not every else redact(t, every) for t, (_, every) in zip(texts, results, strict=True)]

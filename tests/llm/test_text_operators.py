@@ -224,7 +224,7 @@ def test_cross_parsing_equals_a_plain_parse():
     texts = {"x": "abab banana cab", "y": "zebra zz abra cadabra"}
     parser = language.CrossParser(texts)
     coded = {k: parser._runs(v) for k, v in texts.items()}
-    points = parser.coder()
+    points = parser.points()
     for text in ["banana", "zebra cadabra 12 zz", "abQ ab", "", "q"]:
         _, costs = parser.costs([text], points)
         symbols = [0 if not c.isalpha() else parser.code.get(c.lower(), 1) for c in text]
