@@ -7,12 +7,16 @@ heap, until the lists passed hold its share of all vectors; what they hold is
 compared exactly, in double precision.
 
 Scale: the codebooks are fitted on a bounded sample; every vector is indexed.
-Equal vectors are one entry with its smallest ids (as many as a result can
-need), so a group of copies is no hot list, and equal queries are searched once.
-Lists are dealt to parts of about ``part_rows`` entries and queries to blocks of
-``block_rows``; a task holds one part and one block and returns at most k + 1
-rows a query. The driver sees the sample and one count per first centroid and
-cell.
+There are more centroids in a larger table, and a query's share is told from the
+sample as what the wanted recall needs: little where vectors are clustered, more
+than half where they are not. Equal vectors are one entry with its smallest ids
+(as many as a result can need), so a group of copies is no hot list, and equal
+queries are searched once. Lists are dealt to parts of about ``part_rows``
+entries and queries to blocks of about ``block_rows`` whose first centroids are
+near in number; a part goes only to the blocks that open a list of it, so that
+with small shares an entry goes to few. A task holds one part and one block and
+returns at most k + 1 rows a query. The driver sees the sample and one count per
+pair of centroids.
 
 Cases: vectors that are null, empty, zero, of another length than most, or hold
 null or non-finite components take no part, as queries or candidates. Ties in
@@ -80,8 +84,35 @@ def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, wanted: int) -
     return out
 
 
-def search(table: DataFrame, every: int = 100, k: int = 10, cells: int = 32, share: float = 0.6, sample_rows: int = 4096, part_rows: int = 20_000, block_rows: int = 2048) -> DataFrame:
-    """The k nearest found of the vectors whose id is a multiple of ``every``: query_id, rank, vec_id, score."""
+def share_for(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], held: np.ndarray, k: int, recall: float, asked: int = 256) -> float:
+    """The share of all vectors whose lists must be passed so that ``recall`` of the nearest are among them.
+
+    Told from the sample: the nearest of its first vectors in the rest of it, and
+    where on each walk their lists come. In the whole table neighbours are nearer,
+    so their lists come earlier.
+    """
+    half = books[0].shape[1]
+    of = np.stack([nearest(part, book) if book.shape[1] else np.zeros(len(part), int) for part, book in zip((sample[:, :half], sample[:, half:]), books, strict=True)], axis=1)
+    needed = []
+    for i in range(min(asked, len(sample))):
+        q = sample[i : i + 1]
+        away = squared(q, sample)[0]
+        away[i] = np.inf
+        near = np.argsort(away, kind="stable")[: min(k, len(sample) - 1)]
+        sums = squared(q[:, :half], books[0])[0][:, None] + squared(q[:, half:], books[1])[0][None]
+        order = np.argsort(sums, axis=None, kind="stable")
+        passed = np.empty(order.size)
+        passed[order] = np.cumsum(held.reshape(-1)[order])
+        needed += passed.reshape(held.shape)[of[near, 0], of[near, 1]].tolist()
+    return float(np.quantile(needed, recall, method="higher")) / max(1, held.sum()) if needed else 1.0
+
+
+def search(table: DataFrame, every: int = 100, k: int = 10, cells: int | None = None, share: float | None = None, recall: float = 0.95, sample_rows: int = 4096, part_rows: int = 20_000, block_rows: int = 8192) -> DataFrame:
+    """The k nearest found of the vectors whose id is a multiple of ``every``: query_id, rank, vec_id, score.
+
+    Without ``cells`` there are as many as an eighth of the root of the number of
+    vectors (8 to 256). Without ``share`` it is what ``recall`` asks for on the sample.
+    """
     rows = usable(table)
     # A result needs at most k + 1 ids of one vector (its own is left out).
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -91,6 +122,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10, cells: int = 32, sha
     sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("v"), "ids").limit(sample_rows).collect()], float)
     if not len(sample):
         sample = np.ones((1, 2))
+    cells = cells or int(np.clip(np.sqrt(entries.count()) / 8, 8, 256))
     half = -(-sample.shape[1] // 2)
     books = (k_means(sample[:, :half], cells), k_means(sample[:, half:], cells) if sample.shape[1] > half else np.zeros((1, 0)))
 
@@ -110,6 +142,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10, cells: int = 32, sha
     for r in placed.groupBy("c1", "c2").count().collect():  # at most cells x cells rows
         held[r["c1"], r["c2"]] = r["count"]
     salts = np.maximum(1, -(-held.sum(axis=1) // part_rows))
+    share = share_for(sample, books, held, k, recall) if share is None else share
     wanted = max(20 * k, int(np.ceil(share * held.sum())))
 
     def route(batches):
@@ -117,25 +150,32 @@ def search(table: DataFrame, every: int = 100, k: int = 10, cells: int = 32, sha
 
         for batch in batches:
             v = matrix(batch.column("v"))
-            out = {"q": [], "v": [], "c1": [], "salt": [], "seconds": []}
+            out = {"q": [], "v": [], "own": [], "c1": [], "salt": [], "seconds": []}
             near = [squared(part, book) for part, book in zip((v[:, :half], v[:, half:]), books, strict=True)] if len(v) else []
             for i, q in enumerate(batch.column("q").to_pylist()):
                 by: dict[int, list[int]] = {}
                 for a, b in walk(near[0][i], near[1][i], held, wanted):
                     by.setdefault(a, []).append(b)
+                own = int(near[0][i].argmin())
                 for a, seconds in by.items():
                     for s in range(int(salts[a])):
-                        for name, value in zip(out, (q, v[i], a, s, seconds), strict=True):
+                        for name, value in zip(out, (q, v[i], own, a, s, seconds), strict=True):
                             out[name].append(value)
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     asked = durable(queries.groupBy("v").agg(F.min("vec_id").alias("q")))
     blocks = max(1, -(-asked.count() // block_rows))
-    block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
-    routed = asked.mapInArrow(route, "q long, v array<double>, c1 int, salt int, seconds array<int>").withColumn("block", block)
+    # Queries of one first centroid open much the same lists, so they are dealt to blocks by it.
+    block = F.when(F.lit(blocks) == 1, F.lit(0)).otherwise(F.pmod(F.floor(F.col("own") * F.lit(blocks) / F.lit(len(books[0]))) + F.pmod(F.xxhash64("q"), F.greatest(F.lit(1), F.lit(blocks // len(books[0])))), F.lit(blocks))).cast("int")
+    routed = asked.mapInArrow(route, "q long, v array<double>, own int, c1 int, salt int, seconds array<int>").withColumn("block", block).drop("own")
     most = F.element_at(F.array(*(F.lit(int(s)) for s in salts)), F.col("c1") + 1)
-    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("ids"), most).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if blocks > 1:
+        routed = durable(routed)
+        opened = routed.select("c1", "salt", F.col("block").alias("to")).distinct()
+        dealt = placed.withColumn("salt", F.pmod(F.xxhash64("ids"), most).cast("int")).join(opened, ["c1", "salt"]).withColumnRenamed("to", "block")
+    else:
+        dealt = placed.withColumn("salt", F.pmod(F.xxhash64("ids"), most).cast("int")).withColumn("block", F.lit(0))
 
     def compare(mine, theirs):
         out = []

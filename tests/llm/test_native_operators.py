@@ -85,6 +85,21 @@ def test_few_and_no_vectors(spark):
     assert neighbours.search(table.where("vec_id < 0")).collect() == []
 
 
+def test_clustered_vectors_need_a_small_share(spark):
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(40, 16)) * 10
+    many = draw.integers(0, 40, 6000)
+    rows = dict(enumerate((centres[many] + draw.normal(size=(6000, 16))).tolist()))
+    sample = np.array(list(rows.values()))[:2000]
+    books = (neighbours.k_means(sample[:, :8], 16), neighbours.k_means(sample[:, 8:], 16))
+    held = np.zeros((16, 16), int)
+    np.add.at(held, (neighbours.nearest(sample[:, :8], books[0]), neighbours.nearest(sample[:, 8:], books[1])), 1)
+    assert neighbours.share_for(sample, books, held, 10, 0.95) < 0.2
+    table = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got, want = found(neighbours.search(table, every=10, block_rows=100, part_rows=300)), exact(rows, 10, 10)
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 # --- chat
 
 TURNS = "conv_id long, turn long, role string, text string, extra int"
@@ -121,6 +136,23 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert quality.judged(no_docs).collect() == [] and quality.accepted(no_docs).collect() == []
 
 
+def test_rules_after_a_rejection_are_not_evaluated(spark):
+    docs = spark.createDataFrame([(1, "bad one"), (2, "bad two")], "doc_id long, text string")
+    fails = quality.Rule("fails", F.raise_error("evaluated").cast("boolean") | F.col("text").startswith("x"))
+    first = quality.Rule("bad", F.col("text").startswith("bad"))
+    assert [r[0] for r in docs.select(quality.cascade([first, fails])).collect()] == ["bad", "bad"]
+    assert docs.where(quality.cascade([first, fails]).isNull()).collect() == []
+    with pytest.raises(Exception, match="evaluated"):
+        docs.select(quality.cascade([fails, first])).collect()
+
+
+def test_costly_rules_wait_for_cheap_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    cheap = quality.Rule("cheap", F.length(quality.text_of()) < 2000)
+    costly = quality.Rule("costly", quality.base_rules()[1].rejects | (F.length(quality.text_of()) < 2000))
+    assert [r.name for r in quality.ordered(docs, [costly, cheap])] == ["cheap", "costly"]
+
+
 def test_labelled_documents(spark):
     folder = "/root/testdata/sf0.1"
     rows = registry.op9_quality_cascade(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("n_words >= 50")
@@ -130,7 +162,8 @@ def test_labelled_documents(spark):
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
     docs = spark.createDataFrame([(i, "word " * (10 if i % 2 else 100)) for i in range(200)], "doc_id long, text string")
-    rules = [quality.Rule("never", F.col("q_n_words") < 0), quality.Rule("half", F.col("q_n_words") < 50)]
+    n = F.size(quality.words_of(quality.text_of()))
+    rules = [quality.Rule("never", n < 0), quality.Rule("half", n < 50)]
     assert [r.name for r in quality.ordered(docs, rules)] == ["half", "never"]
 
 
