@@ -7,6 +7,12 @@ finds, per word, the smallest rank of an adjacent pair (a segmented minimum),
 merges its occurrences from the left, and compacts the array; words with no
 mergeable pair leave it. Rounds end when no word is left.
 
+In a long word the minimum is that of a window around each pair. A pair is lost
+only to a neighbour that becomes part of a better pair, and what grows towards it
+from outside the window would be longer than any piece before it came near; so a
+pair that is least in its window is merged as it would be in its turn, and the
+number of rounds does not grow with the length of a word.
+
 Where an extension of a piece may rank at least as high as the piece itself, or
 where scores are tied, only the leftmost occurrence is merged in a round, so the
 result is that of merging one pair at a time.
@@ -65,6 +71,18 @@ def _fields(raw: bytes):
             i += size
 
 
+def _window_least(rank: np.ndarray, left: int, right: int) -> np.ndarray:
+    """The least rank from ``left`` places before each place to ``right`` after it."""
+    whole, span = left + right + 1, 1
+    out = np.full(len(rank) + whole, _NONE)
+    out[left : left + len(rank)] = rank
+    while span < whole:
+        step = min(span, whole - span)
+        np.minimum(out[:-step], out[step:], out=out[:-step])
+        span += step
+    return out[: len(rank)]
+
+
 class PieceModel:
     """A BPE model file: its pieces, and the table of pairs that merge."""
 
@@ -117,6 +135,8 @@ class PieceModel:
                     continue
                 table[left * int(self.width) + right] = (rank[p], i)
                 careful.update(rank[q] for q in (p[:k], p[k:]) if len(q) > 1 and rank[q] >= rank[p])
+        # So far from a pair nothing can reach its symbols before it is merged itself, with room to spare.
+        self.reach = 2 * max(map(len, ids))
         self.glued = {p[i : i + 2] for p in ids for i in range(len(p) - 1)}
         self.keys = np.array(sorted(table), np.int64)
         self.ranks = np.array([table[k][0] for k in self.keys.tolist()] + [_NONE], np.int64)
@@ -169,11 +189,21 @@ class PieceModel:
                 best, size = best[~done], size[~done]
                 if not len(symbol):
                     break
-            at = np.flatnonzero(rank == np.repeat(best, size))
-            fresh = np.r_[True, word[at[1:]] != word[at[:-1]]]  # first of its word
-            run = fresh | np.r_[True, at[1:] != at[:-1] + 1]
-            nth = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[np.where(self.careful[rank[at]], fresh, nth % 2 == 0)]
+            target, far = np.repeat(best, size), np.repeat(size > 4 * self.reach, size)
+            if far.any():
+                target[far] = _window_least(rank, self.reach, self.reach)[far]
+            at = np.flatnonzero((rank == target) & (rank != _NONE))
+            same = np.r_[False, word[at[1:]] == word[at[:-1]]]
+            run = ~(same & np.r_[False, at[1:] == at[:-1] + 1])
+            start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            alone = ~same  # first of its word
+            ready = (np.arange(len(at)) - start) % 2 == 0
+            if far.any():
+                long = far[at]
+                alone[long] = (_window_least(rank, self.reach, -1)[at] > rank[at])[long]
+                # A run whose left part is not at its turn waits for it.
+                ready &= ~((at > 0) & (rank[at - 1] == rank[at]) & (word[at - 1] == word[at]))[start]
+            at = at[np.where(self.careful[rank[at]], alone, ready)]
             symbol[at] = into[at]
             keep = np.ones(len(symbol), bool)
             keep[at + 1] = False

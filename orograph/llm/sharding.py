@@ -90,7 +90,7 @@ def _drawn(rows: DataFrame, step: float, seed: int) -> list[tuple[int, int, floa
     return [tuple(r) for r in got.toLocalIterator()]
 
 
-def sharded(docs: DataFrame, shards: int = 40, overhead: int = 16, together: float = 0.01, range_rows: int = 200_000, per_range: int = 24, rounds: int = 3) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, overhead: int = 16, together: float = 0.01, range_rows: int = 200_000, per_range: int = 24, rounds: int = 30) -> DataFrame:
     """Shard and slot of every document, under the law of nearly equal bytes."""
     rows = durable(records(docs, overhead))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -103,7 +103,7 @@ def sharded(docs: DataFrame, shards: int = 40, overhead: int = 16, together: flo
         placed = in_ranges(rows, bounds)
         held = {r["range"]: r for r in placed.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
         over = [r for r, x in held.items() if x["bytes"] > 2 * share or x["n"] > 2 * range_rows]
-        if not over or seed == 11 + rounds:
+        if not over:
             break
         inside = placed.where(F.col("range").isin(over)).select("h", "doc_id", "size", "range")
         drawn: dict[int, list] = {}
