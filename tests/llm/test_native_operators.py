@@ -221,3 +221,32 @@ def test_pipeline_stages_on_odd_and_no_rows(spark, odd_docs, no_docs):
         stage(spark, clash, "").count()
     kept = corpus_pipeline.known_language(spark, odd_docs, "")
     assert {r["doc_id"] for r in kept.collect()} == {5, 6, 7, 8, 9, 10, 11, None} and language.UNKNOWN == "und"
+
+
+def test_templates_reach_the_whole_depth(spark):
+    """Variable segments at the third and fourth level are wildcards of their own, and blocked and allowed branches below them stay apart."""
+    slug = lambda i: chr(97 + i % 26) + chr(97 + i // 26) + "name"
+    rows = []
+    for i in range(40):
+        for kind in ("good", "bad"):
+            url = f"http://shop.org/a/b/{slug(i)}/{kind}/{slug(i + 7)}x{'/tail' * 3}"
+            rows.append((len(rows), url, 1))
+    rules = (("block", "shop.org/a/b/" + slug(0)), *((("block", f"shop.org/a/b/{slug(i)}/bad") for i in range(1, 30))), *(("allow", f"shop.org/a/b/{slug(i)}/good") for i in range(0, 30)))
+    pages = spark.createDataFrame(rows + rows[:4] + [(999, "http://shop.org/" + "deep/" * 3000 + "x" * 100_000, 2)], "page_id long, url string, host int")
+    got = {r["page_id"]: r for r in urls.filtered(pages, rules).collect()}
+    assert urls.filtered(pages, rules).count() == len(rows) + 5
+    for i, url, _ in rows:
+        assert got[i]["verdict"] == ("block" if "/bad/" in url else "allow"), url
+        assert (got[i]["rule"] is None) == (i // 2 >= 30)
+    assert got[999]["verdict"] == "allow"
+
+
+def test_branches_of_one_distribution_are_merged(spark):
+    """A branch told by no rule takes the verdict of the branch that it is like; one of another distribution does not."""
+    rows = []
+    for branch, shares in (("one", (60, 30, 10)), ("two", (55, 33, 12)), ("odd", (34, 33, 33))):
+        rows += [(f"http://site.io/{branch}/{child}/{k}") for child, n in zip(("x", "y", "z"), shares) for k in range(n)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filtered(pages, (("block", "site.io/one/"),), urls.Tree(unlabelled=0.1)).collect()}
+    of = lambda branch: {got[i] for i, u in enumerate(rows) if f"/{branch}/" in u}
+    assert of("one") == {"block"} and of("two") == {"block"} and of("odd") == {"allow"}
