@@ -3,7 +3,7 @@
 Rules on hosts and paths give verdicts, and so labels. Per host, paths form a
 tree of segments: digits and hexadecimal names become wildcards, and, level by
 level down to the end of each path, the segments below a node become one wildcard
-where they are many and mostly different. Branches of a host (first segments)
+where they are many with fewer than four pages each on average. Branches of a host (first segments)
 whose children are distributed alike are merged: branches with the same commonest
 child are pooled, and one belongs to the pool unless a chi-squared test of
 homogeneity, over all its children, tells it apart at the level of one in twenty.
@@ -97,7 +97,7 @@ def _walked(nodes: DataFrame, many: int) -> DataFrame:
         over = F.col("s").isNull() | (F.col("paths") <= many)
         ended = level.where(over).select("host", "path", "n", "labelled", "blocked", F.concat("t", "rest").alias("t"))
         done = ended if done is None else done.unionByName(ended)
-        varied = (F.col("kids") > many) & (2 * F.col("kids") > F.col("total"))
+        varied = (F.col("kids") > many) & (4 * F.col("kids") > F.col("total"))
         step = F.concat("t", F.array(F.when(varied, F.lit("*")).otherwise(F.col("s"))))
         left = level.where(~over).select("host", "path", "n", "labelled", "blocked", step.alias("t"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest"))
         open_ = durable(left)
@@ -160,7 +160,7 @@ v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' W
                                              THEN '<x>' ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END) AS g FROM r),
 n0 AS (SELECT host, g, count(*) AS n, count(verdict) AS l, count(*) FILTER (verdict = 'block') AS b FROM v GROUP BY ALL),
 walk AS (SELECT host, g, n, l, b, []::VARCHAR[] AS t, 0 AS d FROM n0 UNION ALL
-         SELECT host, g, n, l, b, list_append(t, CASE WHEN kids > 12 AND 2 * kids > total THEN '*' ELSE g[d + 1] END), d + 1
+         SELECT host, g, n, l, b, list_append(t, CASE WHEN kids > 12 AND 4 * kids > total THEN '*' ELSE g[d + 1] END), d + 1
          FROM (SELECT *, count(DISTINCT g[d + 1]) OVER (PARTITION BY host, t) AS kids, sum(n) OVER (PARTITION BY host, t) AS total FROM walk WHERE len(g) > d)),
 leaf AS (SELECT host, g, n, l, b, coalesce(t[1], '') AS t1, coalesce(t[2], '') AS t2, array_to_string(t[3:], '/') AS rest FROM walk WHERE len(g) = d),
 k AS (SELECT host, t1, t2, sum(n) AS o FROM leaf GROUP BY ALL),
