@@ -3,10 +3,11 @@
 Rules on hosts and paths give verdicts, and so labels. Per host, paths form a
 tree of segments: digits and hexadecimal names become wildcards, and, level by
 level down to the end of each path, the segments below a node become one wildcard
-where they are many with fewer than four pages each on average. Branches of a host (first segments)
-whose children are distributed alike are merged: branches with the same commonest
-child are pooled, and one belongs to the pool unless a chi-squared test of
-homogeneity, over all its children, tells it apart at the level of one in twenty.
+where they are many with fewer than four pages each on average. Branches of a
+host (first segments) whose children are distributed alike are merged: branches
+with the same commonest child are pooled, and one belongs to the pool unless a
+chi-squared test of homogeneity, over all its children, tells it apart at the
+level of one in twenty.
 A template's purity is the share of blocked pages among its labelled ones,
 smoothed towards a prior, and unlabelled pages count half as evidence that the
 template is not blocked as a whole; pages that no rule fits are blocked where the

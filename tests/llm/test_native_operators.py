@@ -244,7 +244,7 @@ def test_templates_reach_the_whole_depth(spark):
 def test_branches_of_one_distribution_are_merged(spark):
     """A branch told by no rule takes the verdict of the branch that it is like; one of another distribution does not."""
     rows = []
-    for branch, shares in (("one", (60, 30, 10)), ("two", (55, 33, 12)), ("odd", (34, 33, 33))):
+    for branch, shares in (("one", (60, 30, 10)), ("two", (55, 33, 12)), ("odd", (20, 40, 40))):
         rows += [(f"http://site.io/{branch}/{child}/{k}") for child, n in zip(("x", "y", "z"), shares) for k in range(n)]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in urls.filtered(pages, (("block", "site.io/one/"),), urls.Tree(unlabelled=0.1)).collect()}
