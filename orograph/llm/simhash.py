@@ -292,24 +292,25 @@ def _groups(batches, columns: int):
 
 
 def _leaders(bits: int):
-    """For rows (key, node, fp) in this order: links (a, b) of nodes to the first node of a key's group, where close to it."""
+    """For rows (key, node, fp, root) in key order: pairs (a < b) of nodes with the first node of a key's group, where close to it and of another root."""
 
     def run(batches):
         import pyarrow as pa
 
-        key, leader, mark = None, 0, 0
+        key, leader, mark, of = None, 0, 0, 0
         for batch in batches:
-            keys, nodes, fps = (batch.column(i).to_numpy() for i in range(3))
+            keys, nodes, fps, roots = (batch.column(i).to_numpy() for i in range(4))
             if not len(keys):
                 continue
             first = np.r_[True, keys[1:] != keys[:-1]]
             start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
-            lead, marks = nodes[start], fps[start]
+            lead, marks, others = nodes[start], fps[start], roots[start]
             if keys[0] == key:
-                lead[start == 0], marks[start == 0] = leader, mark
-            key, leader, mark = keys[-1], lead[-1], marks[-1]
-            near = (nodes != lead) & (np.bitwise_count((fps ^ marks).view(np.uint64)) <= bits)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[near]), pa.array(lead[near])], names=["a", "b"])
+                lead[start == 0], marks[start == 0], others[start == 0] = leader, mark, of
+            key, leader, mark, of = keys[-1], lead[-1], marks[-1], others[-1]
+            near = (roots != others) & (np.bitwise_count((fps ^ marks).view(np.uint64)) <= bits)
+            a, b = nodes[near], lead[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -387,26 +388,32 @@ def close_pairs(nodes: DataFrame, bits: int, kept: int, group_rows: int = 8 * GR
     return met.where("a is not null").select("a", "b").union(rest.select("a", "b")).distinct()
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 10, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
+def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 6, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
     """Links (a, b) that join all nodes (node, fp) whose fingerprints are up to ``bits`` apart and whose texts are similar.
 
-    First nodes are checked against the first node of the groups they meet it in,
-    which joins most of a large group of copies without telling its pairs. Then
-    all pairs are checked whose ends are in different components so far. So no
-    pair is left out, and the first step changes only the work.
+    First nodes are checked against one node of the groups they meet it in, twice
+    with other nodes, which joins most of a large group of copies without telling
+    its pairs. Then all pairs are checked whose ends are in different components
+    so far. So no pair is left out, and the first steps change only the work.
     """
     kept = kept or kept_segments(bits, nodes.count())
     wide = 64 // 6
     keys = F.array(*(F.shiftrightunsigned("fp", wide * i).bitwiseAND(F.lit((1 << wide) - 1).cast("long")).bitwiseOR(F.lit(i << 48).cast("long")) for i in range(6)))
-    led = nodes.select(F.explode(keys).alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
-    named = durable(led.mapInArrow(_leaders(bits), "a long, b long").distinct())
-    roots = components(similar(named, docs, size, percent))
-    placed = durable(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
-    rest = durable(close_pairs(placed, bits, kept, group_rows).join(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    placed, asked = nodes.select("node", "fp", F.col("node").alias("root")), None
+    found = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for place in ("node", F.xxhash64("node")):
+        led = placed.select(F.explode(keys).alias("key"), "node", "fp", "root").repartition("key").sortWithinPartitions("key", place)
+        named = led.mapInArrow(_leaders(bits), "a long, b long").distinct()
+        named = durable(named if asked is None else named.join(asked, ["a", "b"], "left_anti"))
+        found = durable(found.union(similar(named, docs, size, percent)))
+        asked = named if asked is None else durable(asked.union(named))
+        roots = components(found)
+        placed = durable(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")))
+    rest = durable(close_pairs(placed, bits, kept, group_rows).join(asked, ["a", "b"], "left_anti"))
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(rest, docs, size, percent))
 
 
-def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 10, words: int = 2, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 6, words: int = 2, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
     """doc_id and component_id under links between documents whose texts are similar.
 
     Equal texts (in their lower-cased words) are linked, and texts with a Jaccard
