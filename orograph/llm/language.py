@@ -101,26 +101,29 @@ class CrossParser:
             starts.append(base)
             self.bits.append(math.log2(max(2, len(coded))))
             base += len(automata[-1])
-        # An entry is twice the state, odd where a phrase starts: at the root and at dead ends, with the symbol at hand.
-        self.table = np.zeros((base, self.width), np.int32 if 2 * base < 2**31 else np.int64)
+        # A state is its row's place in the flat table. An entry is twice the next state, odd where a phrase
+        # starts: at the root and at dead ends, with the symbol at hand.
+        wide = self.width
+        table = np.zeros((base, wide), np.int32 if 2 * base * wide < 2**31 else np.int64)
         rare: dict[int, int] = {}
         self.fresh = np.zeros((len(automata), self.symbols), np.int64)
         for k, (start, rows) in enumerate(zip(starts, automata, strict=True)):
-            fresh = np.full(self.symbols, 2 * start + 1, np.int64)
+            fresh = np.full(self.symbols, 2 * start * wide + 1, np.int64)
             for c, to in rows[0].items():
-                fresh[c] = 2 * (to + start) + 1
+                fresh[c] = 2 * (to + start) * wide + 1
             self.fresh[k] = fresh
-            part = self.table[start : start + len(rows)]
-            part[:] = fresh[: self.width]
+            part = table[start : start + len(rows)]
+            part[:] = fresh[:wide]
             for i, row in enumerate(rows[1:], 1):
                 for c, to in row.items():
-                    if c < self.width:
-                        part[i, c] = 2 * (to + start)
+                    if c < wide:
+                        part[i, c] = 2 * (to + start) * wide
                     else:
-                        rare[(start + i) * self.symbols + c] = 2 * (to + start)
+                        rare[(start + i) * self.symbols + c] = 2 * (to + start) * wide
+        self.table = table.reshape(-1)
         self.rare_keys = np.array(sorted(rare), np.int64)
         self.rare_to = np.array([rare[k] for k in self.rare_keys.tolist()] + [-1], np.int64)
-        self.starts = np.array(starts, np.int64)
+        self.starts = np.array(starts, np.int64) * self.width
         self.bits = np.array(self.bits)
 
     def _runs(self, text: str) -> list[int]:
@@ -150,16 +153,18 @@ class CrossParser:
         return code
 
     def step(self, k: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The entry of each (language, state, symbol)."""
+        """The entry of each state and symbol, of arrays of one shape or that broadcast; ``k`` tells the language."""
         if self.symbols == self.width:
-            return self.table[state, symbol]
-        got = self.table[state, np.minimum(symbol, self.width - 1)]
-        at = np.flatnonzero(symbol >= self.width)
-        if len(at):
-            key = state[at] * self.symbols + symbol[at]
+            return self.table[state + symbol]
+        known = symbol < self.width
+        got = self.table[state + np.where(known, symbol, 0)]
+        if not known.all():
+            k, state, symbol = np.broadcast_arrays(k, state, symbol)
+            at = np.nonzero(symbol >= self.width)
+            key = state[at] // self.width * self.symbols + symbol[at]
             place = np.searchsorted(self.rare_keys, key)
             place[place == len(self.rare_keys)] = 0
-            hit = self.rare_keys[place] == key if len(self.rare_keys) else np.zeros(len(at), bool)
+            hit = self.rare_keys[place] == key if len(self.rare_keys) else np.zeros(len(key), bool)
             got[at] = np.where(hit, self.rare_to[place], self.fresh[k[at], symbol[at]])
         return got
 
@@ -169,50 +174,59 @@ class CrossParser:
         parts = -(-sizes // SEGMENT)
         of_part = np.repeat(np.arange(len(sizes)), parts)
         nth = np.arange(len(of_part)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = first[of_part] + nth * SEGMENT
         length = np.minimum(SEGMENT, sizes[of_part] - nth * SEGMENT)
-        end = np.repeat(self.starts[:, None], len(start), axis=1)
-        begun = np.zeros((many, len(code)), bool)
+        start = first[of_part] + nth * SEGMENT
+        # Segments in order of length, so that those still being read are the first ones; ``next_`` finds a text's next segment.
         order = np.argsort(-length, kind="stable")
-        live = len(order)
-        states, k = end[:, order], np.repeat(np.arange(many)[:, None], live, axis=1)
-        for i in range(int(length.max(initial=0))):
-            while live and length[order[live - 1]] <= i:
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        next_ = np.full(len(order), -1)
+        follows = np.flatnonzero(nth > 0)
+        next_[place[follows - 1]] = place[follows]
+        of_part, length, start = of_part[order], length[order], start[order]
+        langs = np.arange(many)[:, None]
+        end = np.repeat(self.starts[:, None], len(start), axis=1)
+        count = np.zeros((many, len(start)), np.int64)
+        begun = np.zeros((int(length.max(initial=0)), many, len(start)), bool)
+        live = len(start)
+        for i in range(len(begun)):
+            while live and length[live - 1] <= i:
                 live -= 1
-            at = start[order[:live]] + i
-            got = self.step(k[:, :live].reshape(-1), states[:, :live].reshape(-1), np.tile(code[at], many)).reshape(many, live)
-            begun[:, at] = got & 1
-            states[:, :live] = got >> 1
-        end[:, order] = states
-        begins = np.concatenate([np.zeros((many, 1), np.int64), np.cumsum(begun, axis=1)], axis=1)
-        count = begins[:, start + length] - begins[:, start]
+            got = self.step(langs, end[:, :live], code[start[:live] + i][None])
+            begun[i, :, :live] = got & 1
+            count[:, :live] += got & 1
+            end[:, :live] = got >> 1
         # Follow what reaches into a segment; where it changes the segment's end, follow that into the next one.
-        fresh_end = end.copy()
-        ks, segments = np.nonzero(np.broadcast_to(nth > 0, (many, len(start))))
+        fresh_end, fresh = end.copy(), count.copy()
+        before = np.flatnonzero(next_ >= 0)
+        ks, before = (x.reshape(-1) for x in np.broadcast_arrays(langs, before[None]))
         while len(ks):
-            state, seen = end[ks, segments - 1].copy(), np.zeros(len(ks), np.int64)
+            segments = next_[before]
+            state, seen, passed = end[ks, before], np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
             open_, total, i = np.arange(len(ks)), np.zeros(len(ks), np.int64), 0
             last = fresh_end[ks, segments]
             while len(open_):
-                at = start[segments[open_]] + i
-                got = self.step(ks[open_], state[open_], code[at])
-                met = (got & 1 > 0) & begun[ks[open_], at]
+                at = segments[open_]
+                got = self.step(ks[open_], state[open_], code[start[at] + i])
+                own = begun[i, ks[open_], at]
+                met = (got & 1 > 0) & own
                 agreed = open_[met]
-                total[agreed] = seen[agreed] + begins[ks[agreed], start[segments[agreed]] + length[segments[agreed]]] - begins[ks[agreed], at[met]]
+                total[agreed] = seen[agreed] + fresh[ks[agreed], segments[agreed]] - passed[agreed]
                 seen[open_] += got & 1
+                passed[open_] += own
                 state[open_] = got >> 1
                 i += 1
-                over = ~met & (length[segments[open_]] == i)
+                over = ~met & (length[at] == i)
                 ended = open_[over]
                 total[ended] = seen[ended]
                 last[ended] = state[ended]
                 open_ = open_[~met & ~over]
             count[ks, segments] = total
             changed = last != end[ks, segments]
-            ks, segments = ks[changed], segments[changed]
-            end[ks, segments] = last[changed]
-            on = np.r_[nth, 0][segments + 1] > 0  # a next segment of the same text
-            ks, segments = ks[on], segments[on] + 1
+            ks, before = ks[changed], segments[changed]
+            end[ks, before] = last[changed]
+            on = next_[before] >= 0
+            ks, before = ks[on], before[on]
         total = np.zeros((len(sizes), many))
         for j in range(many):
             total[:, j] = np.bincount(of_part, count[j], minlength=len(sizes))
@@ -238,11 +252,12 @@ def fit(labelled: DataFrame, sample_docs: int = 200, text_chars: int = 40_000, m
     """
     rows = labelled.where("text is not null and lang is not null").where(F.length("text") <= max_chars)
     rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("place"))
-    # Only hashes are ranked; then the few texts are fetched. Copies of a text are one.
+    # Hashes are even, so the least of a language are those under a bound told by how many there are. Copies of a text are one.
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("many"))
+    under = rows.join(F.broadcast(many), "lang").where(F.col("place") / 2.0**64 + 0.5 <= 2.0 * sample_docs / F.col("many"))  # one row a language
+    few = under.groupBy("lang", "place").agg(F.min("text").alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    drawn = rows.select("lang", "place").distinct().withColumn("nth", nth).where(F.col("nth") <= sample_docs).collect()
-    places = labelled.sparkSession.createDataFrame([tuple(r) for r in drawn], "lang string, place long, nth int")
-    found = rows.join(F.broadcast(places), ["lang", "place"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))  # sample_docs rows a language
+    found = few.withColumn("nth", nth).where(F.col("nth") <= sample_docs)
     texts: dict[str, list[str]] = {}
     for row in found.orderBy("lang", "nth").toLocalIterator():
         got = texts.setdefault(row["lang"], [])
