@@ -1,7 +1,7 @@
 """The registered queries and their oracle SQL."""
 
-from orograph.plans import grid, motion, records, shapes, visibility
+from orograph.plans import grid, motion, records, shapes, sites, visibility
 
-_PLANS = (visibility, motion, grid, records, shapes)
+_PLANS = (visibility, motion, grid, records, shapes, sites)
 QUERIES = {k: f for p in _PLANS for k, f in p.REGISTRY.queries.items()}
 ORACLE = {k: s for p in _PLANS for k, s in p.REGISTRY.oracle.items()}

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's ``spark.checkpoint.dir`` and read it from there.
 
-    A folder is made only where that setting is unset, as in tests.
+    Where that setting is unset a local session, as in tests, gets a folder of its
+    own; on a cluster it has to be set, since executors share no local folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orograph-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orograph-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from orograph.functions.scalars import azimuth, in_sector
 
 
-def around(cells: DataFrame, sites: DataFrame) -> DataFrame:
+def around(cells: DataFrame, sites: DataFrame, size: int = 32) -> DataFrame:
     """Cells within the range of each site (r, c, range_cells), with dx, dy and d2.
 
-    Sites and cells meet on square blocks of cells, each site in the blocks its
+    Sites and cells meet on square blocks of ``size`` cells a side, each site in the blocks its
     range touches, so this is an equality join and no cross join.
     """
-    size = 32
     reach = lambda at, sign: F.floor((F.col(at) + sign * F.col("range_cells")) / size)
     spread = (
         sites.withColumnsRenamed({"r": "site_r", "c": "site_c"})
@@ -33,7 +32,7 @@ def sector(dx: Column, dy: Column, centre: Column, width: Column) -> Column:
 
 
 def assemble(cells: DataFrame, sector: Column, band: Column, terrain: Column, domain: Column) -> DataFrame:
-    """The masks of a coverage: what would be covered, is known, is seen and is hidden."""
+    """The masks of a coverage: what would be covered, is known, is seen and is hidden. Their names are fixed values."""
     raw = sector & band
     return cells.withColumns({
         "raw_theoretical": raw,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orograph.functions import scalars as S
@@ -64,14 +64,14 @@ def window_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.terrain(spark, sf_dir).where("valid and r between 2 and 9 and c between 30 and 60").select("r", "c", "z")
 
 
-@query(f"""{with_('terrain')}, grid AS (SELECT i, j, 1.5::DOUBLE * i + 0.25 AS y, 1.5::DOUBLE * j + 0.25 AS x FROM (SELECT unnest(range(0, floor((SELECT max(r) FROM terrain) / 1.5)::BIGINT + 1)) AS i), (SELECT unnest(range(0, 80)) AS j)),
+@query(f"""{with_('terrain')}, grid AS (SELECT i, j, 1.5::DOUBLE * i + 0.25 AS y, 1.5::DOUBLE * j + 0.25 AS x FROM (SELECT unnest(range(0, floor((SELECT max(r) FROM terrain) / 1.5)::BIGINT + 1)) AS i), (SELECT unnest(range(0, floor((SELECT max(c) FROM terrain) / 1.5)::BIGINT + 1)) AS j)),
     w AS (SELECT i, j, sum(wt) FILTER (valid) AS weight, sum(wt * z) FILTER (valid) AS total FROM (SELECT i, j, a, b, (CASE WHEN a = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE WHEN b = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS wt, floor(y)::INT + a AS r, floor(x)::INT + b AS c FROM grid, (VALUES (0), (1)) va(a), (VALUES (0), (1)) vb(b)) q JOIN terrain USING (r, c) GROUP BY i, j)
     SELECT i::INT AS i, j::INT AS j, round(total / weight, 6) AS z FROM w WHERE weight > 1e-6""")
 def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda a: F.lit(1.5) * F.col(a) + 0.25
-    rows = fixtures.terrain(spark, sf_dir).agg(F.floor(F.max("r") / 1.5).cast("int").alias("last"))  # one row
-    grid = rows.select(F.explode(F.sequence(F.lit(0), "last")).alias("i")).repartition("i")
-    grid = grid.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(79)))).withColumns({"y": place("i"), "x": place("j")})
+    rows = fixtures.terrain(spark, sf_dir).agg(F.floor(F.max("r") / 1.5).cast("int").alias("last"), F.floor(F.max("c") / 1.5).cast("int").alias("right"))  # one row
+    grid = rows.select(F.explode(F.sequence(F.lit(0), "last")).alias("i"), "right").repartition("i")
+    grid = grid.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("right")))).withColumns({"y": place("i"), "x": place("j")})
     corners = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))
     part = lambda v, side: F.when(F.col(side) == 0, 1 - (F.col(v) - F.floor(v))).otherwise(F.col(v) - F.floor(v))
     rows = grid.withColumn("k", F.explode(corners)).select("i", "j", "x", "y", "k.a", "k.b")
@@ -81,13 +81,13 @@ def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{with_('terrain')}, holes AS (SELECT r, c FROM terrain WHERE NOT valid), near AS (SELECT h.r, h.c, sum(t.z / d2) / sum(1.0::DOUBLE / d2) AS z FROM (SELECT h.r, h.c, t.z, ((t.r - h.r) * (t.r - h.r) + (t.c - h.c) * (t.c - h.c))::DOUBLE AS d2 FROM holes h JOIN terrain t ON t.valid AND t.r BETWEEN h.r - 2 AND h.r + 2 AND t.c BETWEEN h.c - 2 AND h.c + 2) t, (SELECT 1) o, LATERAL (SELECT t.r, t.c) h GROUP BY h.r, h.c)
-    SELECT r, c, round(z, 6) AS z FROM near""")
+    SELECT h.r, h.c, round(n.z, 6) AS z FROM holes h LEFT JOIN near n ON n.r = h.r AND n.c = h.c""")
 def fill_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixtures.terrain(spark, sf_dir)
     steps = F.sequence(F.lit(-2), F.lit(2))
-    holes = cells.where("not valid").select(F.col("r").alias("hr"), F.col("c").alias("hc")).withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
+    holes = cells.where("not valid").select(F.col("r").alias("hr"), F.col("c").alias("hc")).withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps)).where("a <> 0 or b <> 0")
     holes = holes.withColumns({"r": F.col("hr") + F.col("a"), "c": F.col("hc") + F.col("b"), "d2": (F.col("a") * F.col("a") + F.col("b") * F.col("b")).cast("double")})
-    out = holes.join(cells.where("valid"), ["r", "c"]).groupBy("hr", "hc").agg((F.sum(F.col("z") / F.col("d2")) / F.sum(1 / F.col("d2"))).alias("z"))
+    out = holes.join(cells.where("valid"), ["r", "c"], "left").groupBy("hr", "hc").agg((F.sum(F.col("z") / F.col("d2")) / F.sum(F.when(F.col("z").isNotNull(), 1 / F.col("d2")))).alias("z"))
     return out.select(F.col("hr").alias("r"), F.col("hc").alias("c"), F.round("z", 6).alias("z"))
 
 
@@ -107,8 +107,31 @@ def plane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{with_('terrain')} SELECT round(quantile_cont(z, 0.02), 6) AS low, round(quantile_cont(z, 0.98), 6) AS high FROM terrain WHERE valid")
 def color_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile("z", F.lit(p)), 6)
-    return fixtures.terrain(spark, sf_dir).where("valid").agg(q(0.02).alias("low"), q(0.98).alias("high"))
+    low, high = quantiles(fixtures.terrain(spark, sf_dir).where("valid").select(F.col("z").alias("v")), (0.02, 0.98))
+    return low.select(F.round("q", 6).alias("low")).join(F.broadcast(high.select(F.round("q", 6).alias("high"))))
+
+
+def quantiles(values: DataFrame, shares: tuple[float, ...]) -> list[DataFrame]:
+    """One row ``q`` for each share: the exact quantile of ``v``, interpolated between neighbours.
+
+    Whole numbers below the values are the buckets: their counts say in which ones
+    the wanted ranks lie, and only those are ranked, by counts of equal values.
+    """
+    counts = values.groupBy("v").agg(F.count("*").alias("n")).withColumn("b", F.floor("v"))
+    run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each metre that occurs.
+    buckets = counts.groupBy("b").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    total = F.broadcast(values.agg(F.count("*").alias("total")))
+    out = []
+    for share in shares:
+        at = F.lit(share) * (F.col("total") - 1)
+        wanted = buckets.join(total).where((F.col("before") <= F.ceil(at)) & (F.col("before") + F.col("n") > F.floor(at))).select("b", "before", at.alias("at"))
+        inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counts.join(F.broadcast(wanted), "b").withColumn("first", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        holds = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("v")))
+        ends = ranked.agg(holds(F.floor("at")).alias("low"), holds(F.ceil("at")).alias("high"), F.max("at").alias("at"))
+        out.append(ends.select((F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("q")))
+    return out
 
 
 @query(f"{with_('terrain')} SELECT r, c, floor((z + 32768) / 256)::INT AS red, floor((z + 32768) % 256)::INT AS green, floor((z + 32768 - floor(z + 32768)) * 256)::INT AS blue FROM terrain WHERE valid")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orograph.functions import scalars as S
 from orograph.operators import paths
+from orograph.operators.checkpoint import durable
 from orograph.operators.registry import Registry
 from orograph.sources import fixtures
 from orograph.sources.fixtures import with_
@@ -70,24 +71,34 @@ def altitude_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs(fixtures.routes(spark, sf_dir)).groupBy("route_id").agg(F.count_if(layer("x") != layer("x2")).alias("changes"))
 
 
-# Sensor footprints of the waypoints: above 200, 4 to 12 cells away, 90 degrees wide, looking 20 to 80 degrees down.
+# Sensor footprints of the waypoints: at 400, 40 to 300 away in the slant (so up to 30 cells), 90 degrees wide, looking 20 to 80 degrees down.
 FOOT = """w AS (SELECT route_id, seq, x::INT AS px, y::INT AS py, heading FROM routes),
-foot AS (SELECT route_id, seq, r, c FROM (SELECT w.*, t.r, t.c, t.z, (t.c - px)::DOUBLE AS dx, (py - t.r)::DOUBLE AS dy, sqrt(((t.c - px) * (t.c - px) + (py - t.r) * (py - t.r))::DOUBLE) * 10 AS away
-    FROM w JOIN terrain t ON t.valid AND t.r BETWEEN py - 12 AND py + 12 AND t.c BETWEEN px - 12 AND px + 12)
-    WHERE away >= 40 AND sqrt(away * away + (z - 400) * (z - 400)) <= 300 AND abs((degrees(atan2(dx, dy)) + 360 - heading + 180 + 360) % 360 - 180) <= 45 AND degrees(atan2(400 - z, greatest(away, 0.001))) BETWEEN 20 AND 80)"""
+o AS (SELECT a, b, sqrt((a * a + b * b)::DOUBLE) * 10 AS away, (degrees(atan2(b::DOUBLE, -a::DOUBLE)) + 360) % 360 AS az FROM (SELECT unnest(range(-30, 31)) AS a), (SELECT unnest(range(-30, 31)) AS b) WHERE a * a + b * b BETWEEN 16 AND 900),
+s AS (SELECT route_id, seq, py + a AS r, px + b AS c, away FROM w JOIN o ON abs((az - heading + 180 + 360) % 360 - 180) <= 45),
+foot AS (SELECT route_id, seq, r, c FROM s JOIN terrain USING (r, c) WHERE valid AND sqrt(away * away + (z - 400) * (z - 400)) <= 300 AND degrees(atan2(400 - z, away)) BETWEEN 20 AND 80)"""
 
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(route_id, seq, r, c) of the cells that a sensor sees from each waypoint."""
-    from orograph.operators.masks import around
-
-    points = fixtures.routes(spark, sf_dir).select("route_id", "seq", F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), "heading", F.lit(17).alias("range_cells"))
-    cells = around(fixtures.terrain(spark, sf_dir).where("valid"), points).where((F.abs("dx") <= 12) & (F.abs("dy") <= 12))
-    cells = cells.withColumn("away", F.sqrt(F.col("d2").cast("double")) * 10)
-    down = F.degrees(F.atan2(400 - F.col("z"), F.greatest(F.col("away"), F.lit(0.001))))
+    """(route_id, seq, r, c) of the cells that a sensor sees from each waypoint.
+
+    Distance and heading do not need the terrain, so the cells of a waypoint are
+    named by offsets first, which meet it in bins of ten degrees, and then meet
+    the terrain by an equality join.
+    """
+    place = spark.range(61 * 61).select((F.floor(F.col("id") / 61) - 30).cast("int").alias("a"), (F.col("id") % 61 - 30).cast("int").alias("b"))
+    d2 = F.col("a") * F.col("a") + F.col("b") * F.col("b")
+    azimuth = S.azimuth(F.col("b").cast("double"), -F.col("a").cast("double"))
+    offsets = place.where(d2.between(16, 900)).select("a", "b", (F.sqrt(d2.cast("double")) * 10).alias("away"), azimuth.alias("az"))
+    offsets = offsets.withColumn("bin", F.floor(F.col("az") / 10).cast("int"))  # some 2,700 rows, whatever the data
+    points = fixtures.routes(spark, sf_dir).select("route_id", "seq", F.col("y").cast("int").alias("py"), F.col("x").cast("int").alias("px"), "heading")
+    low, high = F.floor((F.col("heading") - 45) / 10).cast("int"), F.floor((F.col("heading") + 45) / 10).cast("int")
+    points = points.withColumn("bin", F.explode(F.sequence(low, high))).withColumn("bin", F.pmod("bin", F.lit(36)))
+    seen = points.join(F.broadcast(offsets), "bin").where(S.turn(F.col("az"), F.col("heading")) <= 45)
+    seen = seen.select("route_id", "seq", (F.col("py") + F.col("a")).alias("r"), (F.col("px") + F.col("b")).alias("c"), "away")
+    cells = seen.join(fixtures.terrain(spark, sf_dir).where("valid"), ["r", "c"])
     slant = F.sqrt(F.col("away") * F.col("away") + (F.col("z") - 400) * (F.col("z") - 400))
-    wide = S.turn(S.azimuth(F.col("dx").cast("double"), F.col("dy").cast("double")), F.col("heading")) <= 45
-    return cells.where((F.col("away") >= 40) & (slant <= 300) & wide & down.between(20, 80)).select("route_id", "seq", "r", "c")
+    down = F.degrees(F.atan2(400 - F.col("z"), F.col("away")))
+    return cells.where((slant <= 300) & down.between(20, 80)).select("route_id", "seq", "r", "c")
 
 
 @query(f"{with_('terrain', 'routes')}, {FOOT} SELECT route_id, seq, count(*) AS cells FROM foot GROUP BY ALL")
@@ -139,7 +150,7 @@ def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(sent, ["r", "c"]).groupBy("r", "c").agg(F.max(F.abs(F.col("z") - F.col("other"))).alias("relief"))
 
 
-# Roads: rows and columns that are multiples of 10 and 30; factor 1.5 and 2.
+# Roads: rows and columns that are multiples of 10 and 30; factor 1.5 and 2. The least share of speed, 0.05, and off a road 0.7.
 SPEED = SLOPE + """, speed AS (SELECT r, c, slope, CASE WHEN c % 30 = 0 THEN 2.0 WHEN r % 10 = 0 THEN 1.5 ELSE 1.0 END AS road FROM slope WHERE valid AND slope <= 85),
 paced AS (SELECT *, 10.0 * greatest(0.05, 1 - 0.6 * least(1.0, slope / 85) * least(1.0, slope / 85)) * CASE WHEN road > 1 THEN road ELSE 0.7 END AS speed FROM speed)"""
 
@@ -220,17 +231,15 @@ def nearest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orograph.operators.masks import around
 
     zones = fixtures.zones(spark, sf_dir).select("r", "c").distinct()
-    # Rings of growing reach: what has a zone within reach is settled, the rest goes on.
+    # Rings of growing reach, on blocks that grow with it: what has a zone within reach is settled, the rest goes on.
     left = fixtures.targets(spark, sf_dir).select("target_id", "r", "c")
-    reach, found = 8, None
-    while reach == 8 or not left.isEmpty():
+    reach, found, some = 8, None, not zones.isEmpty()
+    while found is None or (some and not left.isEmpty()):
         sites = left.select("r", "c").distinct().withColumn("range_cells", F.lit(reach))
-        least = around(zones, sites).groupBy(F.col("site_r").alias("r"), F.col("site_c").alias("c")).agg(F.min("d2").alias("d2"))
+        least = around(zones, sites, max(32, reach)).groupBy(F.col("site_r").alias("r"), F.col("site_c").alias("c")).agg(F.min("d2").alias("d2"))
         met = left.join(least, ["r", "c"]).select("target_id", F.round(F.sqrt(F.col("d2").cast("double")), 6).alias("distance"))
         found = met if found is None else found.unionByName(met)
-        left, reach = left.join(least, ["r", "c"], "left_anti"), reach * 8
-        if reach > 100_000:
-            break
+        left, reach = durable(left.join(least, ["r", "c"], "left_anti")), reach * 4
     return found
 
 

@@ -94,12 +94,13 @@ def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{with_('terrain', 'stations')}, a AS (SELECT station_id, r, c, range_cells, k, sin(radians(k * 10.0)) AS sx, cos(radians(k * 10.0)) AS sy FROM stations, (SELECT unnest(range(0, 36)) AS k))
-    SELECT station_id, k::INT AS k, round(least(range_cells::DOUBLE, CASE WHEN sx > 1e-9 THEN (119 - c) / sx WHEN sx < -1e-9 THEN c / -sx ELSE 1e9 END, CASE WHEN sy > 1e-9 THEN r / sy WHEN sy < -1e-9 THEN (11 - r) / -sy ELSE 1e9 END), 6) AS radius FROM a""")
+    SELECT station_id, k::INT AS k, round(least(range_cells::DOUBLE, CASE WHEN sx > 1e-9 THEN (max_c - c) / sx WHEN sx < -1e-9 THEN c / -sx ELSE 1e9 END, CASE WHEN sy > 1e-9 THEN r / sy WHEN sy < -1e-9 THEN (max_r - r) / -sy ELSE 1e9 END), 6) AS radius FROM a, (SELECT max(r) AS max_r, max(c) AS max_c FROM terrain)""")
 def clip_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rays = fixtures.stations(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(35)))).withColumns({"sx": F.sin(F.radians(F.col("k") * 10.0)), "sy": F.cos(F.radians(F.col("k") * 10.0))})
+    edge = fixtures.terrain(spark, sf_dir).agg(F.max("r").alias("max_r"), F.max("c").alias("max_c"))  # one row
+    rays = fixtures.stations(spark, sf_dir).join(F.broadcast(edge)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(35)))).withColumns({"sx": F.sin(F.radians(F.col("k") * 10.0)), "sy": F.cos(F.radians(F.col("k") * 10.0))})
     far = F.lit(1e9)
-    across = F.when(F.col("sx") > 1e-9, (119 - F.col("c")) / F.col("sx")).when(F.col("sx") < -1e-9, F.col("c") / -F.col("sx")).otherwise(far)
-    along = F.when(F.col("sy") > 1e-9, F.col("r") / F.col("sy")).when(F.col("sy") < -1e-9, (11 - F.col("r")) / -F.col("sy")).otherwise(far)
+    across = F.when(F.col("sx") > 1e-9, (F.col("max_c") - F.col("c")) / F.col("sx")).when(F.col("sx") < -1e-9, F.col("c") / -F.col("sx")).otherwise(far)
+    along = F.when(F.col("sy") > 1e-9, F.col("r") / F.col("sy")).when(F.col("sy") < -1e-9, (F.col("max_r") - F.col("r")) / -F.col("sy")).otherwise(far)
     return rays.select("station_id", "k", F.round(F.least(F.col("range_cells").cast("double"), across, along), 6).alias("radius"))
 
 

@@ -242,6 +242,7 @@ def target_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ground = fixtures.terrain(spark, sf_dir).select(F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("z").alias("ground1"), F.col("valid").alias("valid1"))
     dr, dc, dh = F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0"), F.col("h1") - F.col("h0")
     d2 = dr * dr + dc * dc
+    # The verdicts and their order.
     verdict = (
         F.when(d2 * 100 + dh * dh > 400 * 400, "outside_range")
         .when(dh > F.sqrt(d2.cast("double")) * 10 * F.tan(F.radians(F.lit(20.0))), "above_max_elevation")

@@ -23,7 +23,10 @@ def features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def roads(features: DataFrame, factors: dict[str, float], default: float = 1.2) -> DataFrame:
-    """Line features with their class and speed factor."""
+    """Line features with their class and speed factor.
+
+    Fixed values: the properties that may hold the class, in this order, and the factor of a class without one.
+    """
     name = F.lower(F.coalesce(*(F.try_element_at("properties", F.lit(k)) for k in ("class", "road_class", "highway")), F.lit("")))
     table = F.create_map(*(F.lit(x) for kv in factors.items() for x in kv)) if factors else F.lit(None).cast("map<string,double>")
     lines = features.where(F.col("kind").isin("LineString", "MultiLineString"))
@@ -45,6 +48,16 @@ def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("errorifexists").text(path)
 
 
+def write_masks(masks: DataFrame, path: str) -> None:
+    """Masks of stations, a folder each, so that one station's are read alone."""
+    masks.repartition("station_id").write.partitionBy("station_id").mode("errorifexists").parquet(path)
+
+
+def masks_of(spark: SparkSession, path: str, station: int) -> DataFrame:
+    """The stored masks of one station; other stations' files are not read."""
+    return spark.read.parquet(path).where(F.col("station_id") == station)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and SHA-256 of the files under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

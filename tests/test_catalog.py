@@ -20,7 +20,7 @@ def duck(small):
 
 def rows(names, values):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    clean = lambda v: round(v, 3) if isinstance(v, float) and math.isfinite(v) else v
+    clean = lambda v: round(v, 6) if isinstance(v, float) and math.isfinite(v) else v
     return sorted([tuple(clean(r[i]) for i in order) for r in values], key=repr)
 
 
