@@ -388,11 +388,11 @@ def close_pairs(nodes: DataFrame, bits: int, kept: int, group_rows: int = 8 * GR
     return met.where("a is not null").select("a", "b").union(rest.select("a", "b")).distinct()
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 6, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
+def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 5, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
     """Links (a, b) that join all nodes (node, fp) whose fingerprints are up to ``bits`` apart and whose texts are similar.
 
-    First nodes are checked against one node of the groups they meet it in, twice
-    with other nodes, which joins most of a large group of copies without telling
+    First nodes are checked against one node of the groups they meet it in, three
+    times with other nodes, which joins most of a large group of copies without telling
     its pairs. Then all pairs are checked whose ends are in different components
     so far. So no pair is left out, and the first steps change only the work.
     """
@@ -401,7 +401,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int
     keys = F.array(*(F.shiftrightunsigned("fp", wide * i).bitwiseAND(F.lit((1 << wide) - 1).cast("long")).bitwiseOR(F.lit(i << 48).cast("long")) for i in range(6)))
     placed, asked = nodes.select("node", "fp", F.col("node").alias("root")), None
     found = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    for place in ("node", F.xxhash64("node")):
+    for place in ("node", F.xxhash64("node"), F.xxhash64("node", F.lit(2))):
         led = placed.select(F.explode(keys).alias("key"), "node", "fp", "root").repartition("key").sortWithinPartitions("key", place)
         named = led.mapInArrow(_leaders(bits), "a long, b long").distinct()
         named = durable(named if asked is None else named.join(asked, ["a", "b"], "left_anti"))
@@ -413,7 +413,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(rest, docs, size, percent))
 
 
-def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 6, words: int = 2, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = 5, words: int = 3, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
     """doc_id and component_id under links between documents whose texts are similar.
 
     Equal texts (in their lower-cased words) are linked, and texts with a Jaccard
