@@ -151,16 +151,27 @@ def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Roads: rows and columns that are multiples of 10 and 30; factor 1.5 and 2. The least share of speed, 0.05, and off a road 0.7.
-SPEED = SLOPE + """, speed AS (SELECT r, c, slope, CASE WHEN c % 30 = 0 THEN 2.0 WHEN r % 10 = 0 THEN 1.5 ELSE 1.0 END AS road FROM slope WHERE valid AND slope <= 85),
-paced AS (SELECT *, 10.0 * greatest(0.05, 1 - 0.6 * least(1.0, slope / 85) * least(1.0, slope / 85)) * CASE WHEN road > 1 THEN road ELSE 0.7 END AS speed FROM speed)"""
+VEHICLE = {"limit": 85, "base": 10.0, "penalty": 0.6, "on": 1.0, "off": 0.7}
 
 
-def speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(r, c, slope, road, speed) of the cells that can be passed."""
-    rows = slopes(fixtures.terrain(spark, sf_dir)).where("valid and slope <= 85")
+def speed_sql(vehicle: dict, name: str = "") -> str:
+    """The speeds of a vehicle, after SLOPE."""
+    share = f"least(1.0, slope / {vehicle['limit']})"
+    road = "CASE WHEN c % 30 = 0 THEN 2.0 WHEN r % 10 = 0 THEN 1.5 ELSE 1.0 END"
+    return f"""speed{name} AS (SELECT r, c, slope, {road} AS road FROM slope WHERE valid AND slope <= {vehicle["limit"]}),
+paced{name} AS (SELECT *, {vehicle["base"]} * greatest(0.05, 1 - {vehicle["penalty"]} * {share} * {share}) * CASE WHEN road > 1 THEN road * {vehicle["on"]} ELSE {vehicle["off"]} END AS speed FROM speed{name})"""
+
+
+SPEED = SLOPE + ", " + speed_sql(VEHICLE)
+
+
+def speeds(spark: SparkSession, sf_dir: str, vehicle: dict = VEHICLE) -> DataFrame:
+    """(r, c, slope, road, speed) of the cells that a vehicle can pass."""
+    rows = slopes(fixtures.terrain(spark, sf_dir)).where(F.col("valid") & (F.col("slope") <= vehicle["limit"]))
     road = F.when(F.col("c") % 30 == 0, F.lit(2.0)).when(F.col("r") % 10 == 0, F.lit(1.5)).otherwise(F.lit(1.0))
-    share = F.least(F.lit(1.0), F.col("slope") / 85)
-    pace = 10.0 * F.greatest(F.lit(0.05), 1 - 0.6 * share * share) * F.when(F.col("road") > 1, F.col("road")).otherwise(F.lit(0.7))
+    share = F.least(F.lit(1.0), F.col("slope") / vehicle["limit"])
+    ground = F.when(F.col("road") > 1, F.col("road") * vehicle["on"]).otherwise(F.lit(vehicle["off"]))
+    pace = vehicle["base"] * F.greatest(F.lit(0.05), 1 - vehicle["penalty"] * share * share) * ground
     return rows.withColumn("road", road).withColumn("speed", pace).select("r", "c", "slope", "road", "speed")
 
 
@@ -169,16 +180,27 @@ def speed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speeds(spark, sf_dir).select("r", "c", F.round("speed", 6).alias("speed"))
 
 
-@query(f"""{with_('terrain')}, {SPEED}, ways AS (SELECT * FROM (VALUES (-1, 0, 1.0::DOUBLE), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0), (-1, -1, sqrt(2)), (-1, 1, sqrt(2)), (1, -1, sqrt(2)), (1, 1, sqrt(2))) v(a, b, d)),
-    grid AS MATERIALIZED (SELECT r, c, 10 / speed AS price FROM paced),
-    edges AS MATERIALIZED (SELECT p.r * 1000 + p.c AS k, g.r * 1000 + g.c AS k2, d * (p.price + g.price) / 2 AS w FROM grid p, ways JOIN grid g ON g.r = p.r + a AND g.c = p.c + b),
-    walk(k, cost) USING KEY (k) AS (SELECT 1001, 0.0::DOUBLE FROM grid WHERE r = 1 AND c = 1 UNION
-        (SELECT e.k2, min(x.cost + e.w) FROM walk x JOIN edges e ON e.k = x.k LEFT JOIN recurring.walk o ON o.k = e.k2 WHERE o.cost IS NULL OR x.cost + e.w < o.cost - 1e-9 GROUP BY e.k2))
-    SELECT 0::INT AS layer, (k // 1000)::INT AS r, (k % 1000)::INT AS c, round(cost, 3) AS cost FROM walk""")
-def shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = speeds(spark, sf_dir).select(F.lit(0).alias("layer"), "r", "c", (10 / F.col("speed")).alias("price"))
+WAYS = "ways AS (SELECT * FROM (VALUES (-1, 0, 1.0::DOUBLE), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0), (-1, -1, sqrt(2)), (-1, 1, sqrt(2)), (1, -1, sqrt(2)), (1, 1, sqrt(2))) v(a, b, d))"
+
+
+def walk_sql(name: str = "") -> str:
+    """Least travel times from (1, 1) at the speeds paced{name}, after WAYS; a step takes its length over the mean speed of its ends."""
+    return f"""grid{name} AS MATERIALIZED (SELECT r, c, speed / 10 AS pace FROM paced{name}),
+    edges{name} AS MATERIALIZED (SELECT p.r * 1000 + p.c AS k, g.r * 1000 + g.c AS k2, d / ((p.pace + g.pace) / 2) AS w FROM grid{name} p, ways JOIN grid{name} g ON g.r = p.r + a AND g.c = p.c + b),
+    walk{name}(k, cost) USING KEY (k) AS (SELECT 1001, 0.0::DOUBLE FROM grid{name} WHERE r = 1 AND c = 1 UNION
+        (SELECT e.k2, min(x.cost + e.w) FROM walk{name} x JOIN edges{name} e ON e.k = x.k LEFT JOIN recurring.walk{name} o ON o.k = e.k2 WHERE o.cost IS NULL OR x.cost + e.w < o.cost - 1e-9 GROUP BY e.k2))"""
+
+
+def travel(spark: SparkSession, sf_dir: str, vehicle: dict = VEHICLE) -> tuple[DataFrame, DataFrame]:
+    """The cells that a vehicle can pass (price is its speed in cells a second), and the least times to reach them."""
+    cells = durable(speeds(spark, sf_dir, vehicle).withColumns({"layer": F.lit(0), "price": F.col("speed") / 10}))
     starts = spark.range(1).select(F.lit(0).alias("layer"), F.lit(1).alias("r"), F.lit(1).alias("c"))
-    return paths.least_costs(grid, starts, tile=128).select("layer", "r", "c", F.round("cost", 3).alias("cost"))
+    return cells, paths.least_costs(cells, starts, tile=128, by_speed=True)
+
+
+@query(f"{with_('terrain')}, {SPEED}, {WAYS}, {walk_sql()} SELECT 0::INT AS layer, (k // 1000)::INT AS r, (k % 1000)::INT AS c, round(cost, 3) AS cost FROM walk")
+def shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return travel(spark, sf_dir)[1].select("layer", "r", "c", F.round("cost", 3).alias("cost"))
 
 
 # Penalty of zones on each cell: whole inside the inner radius, falling to none at the outer, times the level.

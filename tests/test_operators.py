@@ -94,6 +94,25 @@ def test_layers_are_left_for_a_cheaper_one(spark):
     assert got[0, 9] == pytest.approx(9 + 2 * 3)
 
 
+def test_ways_lead_back_to_the_start_and_are_summed(spark):
+    # At speed 2 the upper row takes half the time of the lower one; (5, 5) is out of reach.
+    cells = spark.createDataFrame([(0, r, c, 2.0 if r == 0 else 1.0) for r in (0, 1) for c in range(9)] + [(0, 5, 5, 1.0)], "layer int, r int, c int, price double")
+    starts = spark.createDataFrame([(0, 1, 0)], "layer int, r int, c int")
+    costs = paths.least_costs(cells, starts, diagonal=False, by_speed=True)
+    before = paths.predecessors(cells, costs, diagonal=False, by_speed=True)
+    ends = spark.createDataFrame([("far", 0, 1, 8), ("start", 0, 1, 0), ("none", 0, 5, 5)], "id string, layer int, r int, c int")
+    way = {}
+    for x in paths.ways(before, ends, "id").collect():
+        way.setdefault(x["id"], {})[x["back"]] = (x["r"], x["c"])
+    assert way["start"] == {0: (1, 0)} and "none" not in way
+    assert [way["far"][k] for k in range(11)] == [(1, 8), *((0, c) for c in range(8, -1, -1)), (1, 0)]
+    legs = before.withColumn("steps", F.col("p_layer").isNotNull().cast("long")).withColumn("fast", F.col("price"))
+    sums = {(x["r"], x["c"]): x for x in paths.along(legs, ["steps"], ["fast"]).collect()}
+    assert len(sums) == 18 and sums[1, 8]["steps"] == 10 and sums[1, 8]["fast"] == 2 and sums[1, 0]["steps"] == 0 and sums[1, 0]["fast"] == 1
+    cost = {(x["r"], x["c"]): x["cost"] for x in costs.collect()}
+    assert cost[1, 8] == pytest.approx(8 / 2 + 2 / 1.5)
+
+
 def test_regions_are_connected_by_sides_only(spark):
     rows = ["##.#", "#..#", "..#.", "####"]
     cells = spark.createDataFrame([(r, c, 1) for r, s in enumerate(rows) for c, x in enumerate(s) if x == "#"], "r int, c int, value int")
