@@ -236,16 +236,23 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("layer", "r", "c", (F.coalesce("penalty", F.lit(0.0)) * (1 - F.col("layer") * 0.4)).alias("risk"))
 
 
-@query(f"""{with_('terrain', 'zones')}, {PENALTY}, ways AS (SELECT * FROM (VALUES (0, -1, 0, 1.0::DOUBLE, 0.0::DOUBLE), (0, 1, 0, 1.0, 0.0), (0, 0, -1, 1.0, 0.0), (0, 0, 1, 1.0, 0.0), (0, -1, -1, sqrt(2), 0.0), (0, -1, 1, sqrt(2), 0.0), (0, 1, -1, sqrt(2), 0.0), (0, 1, 1, sqrt(2), 0.0), (1, 0, 0, 1.0, 3.0), (-1, 0, 0, 1.0, 3.0)) v(e, a, b, d, up)),
-    grid AS MATERIALIZED (SELECT layer, t.r, t.c, 1 + coalesce(p.penalty, 0) * (1 - layer * 0.4) AS price FROM terrain t LEFT JOIN penalty p USING (r, c), (VALUES (0), (1)) v(layer) WHERE t.valid),
+LAYER_WALK = """ways AS (SELECT * FROM (VALUES (0, -1, 0, 1.0::DOUBLE, 0.0::DOUBLE), (0, 1, 0, 1.0, 0.0), (0, 0, -1, 1.0, 0.0), (0, 0, 1, 1.0, 0.0), (0, -1, -1, sqrt(2), 0.0), (0, -1, 1, sqrt(2), 0.0), (0, 1, -1, sqrt(2), 0.0), (0, 1, 1, sqrt(2), 0.0), (1, 0, 0, 1.0, 3.0), (-1, 0, 0, 1.0, 3.0)) v(e, a, b, d, up)),
+    grid AS MATERIALIZED (SELECT layer, t.r, t.c, coalesce(p.penalty, 0) * (1 - layer * 0.4) AS risk, 1 + coalesce(p.penalty, 0) * (1 - layer * 0.4) AS price FROM terrain t LEFT JOIN penalty p USING (r, c), (VALUES (0), (1)) v(layer) WHERE t.valid),
     edges AS MATERIALIZED (SELECT p.layer * 10000000 + p.r * 1000 + p.c AS k, g.layer * 10000000 + g.r * 1000 + g.c AS k2, d * (p.price + g.price) / 2 + up AS w FROM grid p, ways JOIN grid g ON g.layer = p.layer + e AND g.r = p.r + a AND g.c = p.c + b),
     walk(k, cost) USING KEY (k) AS (SELECT 2002, 0.0::DOUBLE FROM grid WHERE layer = 0 AND r = 2 AND c = 2 UNION
-        (SELECT e.k2, min(x.cost + e.w) FROM walk x JOIN edges e ON e.k = x.k LEFT JOIN recurring.walk o ON o.k = e.k2 WHERE o.cost IS NULL OR x.cost + e.w < o.cost - 1e-9 GROUP BY e.k2))
-    SELECT (k // 10000000)::INT AS layer, (k % 10000000 // 1000)::INT AS r, (k % 1000)::INT AS c, round(cost, 3) AS cost FROM walk""")
-def layered_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = layered(spark, sf_dir).select("layer", "r", "c", (1 + F.col("risk")).alias("price"))
+        (SELECT e.k2, min(x.cost + e.w) FROM walk x JOIN edges e ON e.k = x.k LEFT JOIN recurring.walk o ON o.k = e.k2 WHERE o.cost IS NULL OR x.cost + e.w < o.cost - 1e-9 GROUP BY e.k2))"""
+
+
+def corridor(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cells of two layers (price is one and the risk), and the least costs to reach them from (0, 2, 2)."""
+    cells = durable(layered(spark, sf_dir).withColumn("price", 1 + F.col("risk")))
     starts = spark.range(1).select(F.lit(0).alias("layer"), F.lit(2).alias("r"), F.lit(2).alias("c"))
-    return paths.least_costs(grid, starts, tile=128, layers=2, vertical=3.0).select("layer", "r", "c", F.round("cost", 3).alias("cost"))
+    return cells, paths.least_costs(cells, starts, tile=128, layers=2, vertical=3.0)
+
+
+@query(f"{with_('terrain', 'zones')}, {PENALTY}, {LAYER_WALK} SELECT (k // 10000000)::INT AS layer, (k % 10000000 // 1000)::INT AS r, (k % 1000)::INT AS c, round(cost, 3) AS cost FROM walk")
+def layered_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corridor(spark, sf_dir)[1].select("layer", "r", "c", F.round("cost", 3).alias("cost"))
 
 
 @query(f"{with_('targets', 'zones')} SELECT target_id, round(sqrt(min((t.r - z.r) * (t.r - z.r) + (t.c - z.c) * (t.c - z.c))::DOUBLE), 6) AS distance FROM targets t, zones z GROUP BY target_id")
