@@ -29,8 +29,8 @@ BLOCK, PART = 256, 64
 _NULL = -(2**63)
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """Each turn with its position from 1, its own hash and the hash of the turns up to it (two longs each)."""
+def positions(turns: DataFrame) -> DataFrame:
+    """Each turn (conv, block, role, text) with its position ``at`` from 1 in its conversation."""
     rows = turns.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(_NULL)).alias("conv"),
         F.col("turn").cast("long").alias("turn"),
@@ -42,7 +42,13 @@ def prefixes(turns: DataFrame) -> DataFrame:
     counts = rows.groupBy("conv", "block").agg(F.count("*").alias("n"))
     before = counts.select("conv", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     rows = rows.withColumn("nth", F.row_number().over(inside)).join(before, ["conv", "block"])
-    rows = rows.withColumn("at", F.col("before") + F.col("nth")).withColumns({
+    return rows.withColumn("at", F.col("before") + F.col("nth"))
+
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """Each turn with its position from 1, its own hash and the hash of the turns up to it (two longs each)."""
+    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = positions(turns).withColumns({
         "m1": F.xxhash64("at", "role", "text"),
         "m2": F.xxhash64(F.lit("second"), "text", "role", "at"),
     })

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orograph.llm import chat, language, neighbours, packing, personal_data, quality, sentence_pieces, sharding, simhash, urls
+from orograph.llm import chat, clustering, language, mixing, neighbours, packing, personal_data, prefix_trie, quality, sentence_pieces, sharding, simhash, urls
 from orograph.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,18 @@ def op10_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -65,4 +77,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_snapshot_collapse": chat.ORACLE,
     "op9_quality_cascade": quality.ORACLE,
     "op10_path_templates": urls.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_weighted_lloyd": clustering.ORACLE,
+    "op13_fair_queueing": mixing.ORACLE,
 }
