@@ -1,7 +1,7 @@
 """The registered queries and their oracle SQL."""
 
-from orograph.plans import grid, journeys, motion, records, shapes, sites, visibility
+from orograph.plans import grid, journeys, motion, polygons, records, shapes, sites, surfaces, visibility
 
-_PLANS = (visibility, motion, journeys, grid, records, shapes, sites)
+_PLANS = (visibility, motion, journeys, grid, records, shapes, sites, polygons, surfaces)
 QUERIES = {k: f for p in _PLANS for k, f in p.REGISTRY.queries.items()}
 ORACLE = {k: s for p in _PLANS for k, s in p.REGISTRY.oracle.items()}

@@ -74,6 +74,49 @@ def utm(lon: Column, lat: Column, central: Column, south: Column) -> tuple[Colum
     return 500000 + scale * x, scale * y + F.when(south, F.lit(10_000_000.0)).otherwise(F.lit(0.0))
 
 
+#: WGS 84: third flattening, and the radius of the rectifying sphere times the scale on the central meridian.
+_FLAT = 1 / 298.257223563
+_N = _FLAT / (2 - _FLAT)
+_RADIUS = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_E = 2 * math.sqrt(_N) / (1 + _N)
+#: Coefficients of the Krueger series to fourth order, there and back.
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+
+
+def to_utm(lon: Column, lat: Column, central: float | Column) -> tuple[Column, Column]:
+    """Easting and northing (no false northing) to less than a tenth of a micrometre inside a zone."""
+    sine = F.sin(F.radians(lat))
+    lam = F.radians(lon - central)
+    t = F.sinh(F.atanh(sine) - _E * F.atanh(_E * sine))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, a in enumerate(_ALPHA, 1):
+        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return 500000 + _RADIUS * x, _RADIUS * y
+
+
+def from_utm(east: Column, north: Column, central: float | Column) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing (no false northing), the inverse of ``to_utm``."""
+    xi, eta = north / _RADIUS, (east - 500000) / _RADIUS
+    y, x = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        y = y - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        x = x - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    isometric = F.atanh(F.sin(y) / F.cosh(x))
+    sine = F.tanh(isometric)
+    for _ in range(7):  # each round leaves less than a hundredth of the error
+        sine = F.tanh(isometric + _E * F.atanh(_E * sine))
+    return central + F.degrees(F.atan2(F.sinh(x), F.cos(y))), F.degrees(F.asin(sine))
+
+
+def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Spherical web-map coordinates in metres."""
+    r = 6378137.0
+    return r * F.radians(lon), r * F.asinh(F.tan(F.radians(lat)))
+
+
 def bearing(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
     """Initial bearing on a sphere."""
     d = F.radians(lon1 - lon0)

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's ``spark.checkpoint.dir`` and read it from there.
-
-    Where that setting is unset a local session, as in tests, gets a folder of its
-    own; on a cluster it has to be set, since executors share no local folder.
-    """
+def _folder(df: DataFrame):
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -20,4 +16,42 @@ def durable(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orograph-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's ``spark.checkpoint.dir`` and read it from there.
+
+    Where that setting is unset a local session, as in tests, gets a folder of its
+    own; on a cluster it has to be set, since executors share no local folder.
+    """
+    _folder(df)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """The tables of a loop, each written to the shared folder and read again.
+
+    A checkpoint keeps the size that was estimated for its plan, and that of a
+    join is the product of its sides': in a loop that joins a table with itself
+    the number's digits double each round, until planning takes longer than the
+    work. A written table has the size of its files. A loop keeps only what it
+    wrote last: ``keep`` drops the table before.
+    """
+
+    def __init__(self) -> None:
+        self._last = None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{_folder(df)}/rounds-{uuid.uuid4()}"
+        df.write.parquet(path)
+        self.drop()
+        self._last = (df.sparkSession, path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        if self._last:
+            spark, path = self._last
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._last = None

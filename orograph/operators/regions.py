@@ -1,9 +1,8 @@
 """Regions of equal value on a grid: runs, connected components, edges and outlines.
 
 Cells of a row join into runs (gaps and islands), runs of neighbouring rows join
-where they overlap, and components settle by passing the smallest label along
-with pointer jumping. Runs are cut at multiples of a block's width, so that no
-row is one task.
+where they overlap, and components come from these links by star contraction.
+Runs are cut at multiples of a block's width, so that no row is one task.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orograph.operators import components as graph
 from orograph.operators.checkpoint import durable
 
 BLOCK = 256
@@ -23,27 +23,23 @@ def runs(cells: DataFrame) -> DataFrame:
     return rows.groupBy("value", "r", "b", "island").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).select("value", "r", "c0", "c1")
 
 
-def components(runs: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def components(runs: DataFrame) -> DataFrame:
     """Runs with ``region``, the smallest run number of their 4-connected component."""
     # A number that tells a run and orders runs by row and column.
     rows = durable(runs.withColumn("id", F.col("r").cast("long") * 2**31 + F.col("c0")))
     spread = rows.withColumn("b", F.explode(F.sequence(F.floor(F.col("c0") / BLOCK), F.floor(F.col("c1") / BLOCK))))
-    below = spread.select(F.col("id").alias("to"), (F.col("r") - 1).alias("r"), "value", "b", F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-    down = spread.join(below, ["value", "r", "b"]).where("c0 <= d1 and d0 <= c1").select("id", "to")
-    beside = rows.select(F.col("id").alias("to"), "r", "value", (F.col("c0") - 1).alias("c1"))
-    links = down.union(rows.join(beside, ["value", "r", "c1"]).select("id", "to"))
-    links = durable(links.union(links.select("to", "id")).distinct())
-    labels = rows.select("id", F.col("id").alias("region"))
-    for _ in range(max_rounds):
-        around = links.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("region").alias("other"))
-        moved = labels.join(around, "id", "left").select("id", F.least("region", "other").alias("next"), "region")
-        jump = moved.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = moved.join(jump, "next", "left").select("id", F.least("next", "far").alias("region"), (F.least("next", "far") != F.col("region")).alias("changed"))
-        new = durable(new)
-        labels = new.select("id", "region")
-        if new.where("changed").isEmpty():
-            return rows.join(labels, "id").drop("id")
-    raise RuntimeError("regions did not settle")
+    below = spread.select(F.col("id").alias("b"), (F.col("r") - 1).alias("r"), "value", F.col("b").alias("block"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    down = spread.withColumnRenamed("b", "block").join(below, ["value", "r", "block"]).where("c0 <= d1 and d0 <= c1").select(F.col("id").alias("a"), "b")
+    beside = rows.select(F.col("id").alias("b"), "r", "value", (F.col("c0") - 1).alias("c1"))
+    links = down.union(rows.join(beside, ["value", "r", "c1"]).select(F.col("id").alias("a"), "b"))
+    roots = graph.components(links).withColumnRenamed("node", "id")
+    return rows.join(roots, "id", "left").withColumn("region", F.coalesce("root", "id")).drop("id", "root")
+
+
+def labelled(cells: DataFrame) -> DataFrame:
+    """Cells (r, c, value) with the ``region`` they belong to."""
+    joined = components(runs(cells))
+    return joined.select("value", "region", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
 
 
 def edges(cells: DataFrame) -> DataFrame:

@@ -139,3 +139,14 @@ def test_scalars(spark):
     assert one(spark, north) == pytest.approx(4982950.40, abs=0.01)
     assert one(spark, S.radar_equation_range(F.lit(0.0), F.lit(1e9), F.lit(30.0), F.lit(-100.0), F.lit(None).cast("double"), F.lit(0.0))) is None
     assert one(spark, S.bearing(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))) == pytest.approx(90)
+
+
+def test_cells_that_cost_nothing_still_have_one_way(spark):
+    cells = spark.createDataFrame([(0, 0, c, p) for c, p in enumerate((0.0, 0.0, 0.0, 1.0))], "layer int, r int, c int, price double")
+    starts = spark.createDataFrame([(0, 0, 3)], "layer int, r int, c int")
+    before = paths.predecessors(cells, paths.least_costs(cells, starts))
+    assert {r["c"]: r["p_c"] for r in before.collect()} == {0: 1, 1: 2, 2: 3, 3: None}
+    back = paths.ways(before, spark.createDataFrame([(1, 0, 0, 0)], "id int, layer int, r int, c int"), "id")
+    assert sorted((r["back"], r["c"]) for r in back.collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    summed = paths.along(before.withColumn("one", F.lit(1)), ["one"], [])
+    assert {r["c"]: r["one"] for r in summed.collect()} == {0: 4, 1: 3, 2: 2, 3: 1}
