@@ -182,9 +182,10 @@ def links(nodes: DataFrame, group_rows: int = GROUP_ROWS, bits: int = 2) -> Data
     near = met.where("b is not null").select("a", "b").distinct()
     large = met.where("b is null").select(F.col("a").alias("fp")).distinct()
     wiped = large.mapInArrow(_two_wiped, "pair int, key long, fp long")
-    fewest = wiped.groupBy("pair", "key").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    rest = fewest.select(F.explode("all").alias("a"), "b").where("a <> b")
-    return near.union(rest)
+    close = lambda a, b: (b < a) & (F.bit_count(a.bitwiseXOR(b)) <= bits)
+    groups = wiped.groupBy("pair", "key").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # four at most
+    rest = groups.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda b: close(F.col("a"), b))).alias("b"))
+    return near.union(rest).distinct()
 
 
 def _shingles(text: Column, size: int) -> Column:

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from orograph.llm import language
 
 
@@ -53,3 +55,24 @@ def test_the_sample_does_not_depend_on_ids_or_copies(spark):
     other = spark.createDataFrame([(1000 - i, t, k) for i, t, k in rows for _ in range(3)], "doc_id long, text string, lang string")
     a, b = (language.fit(d, sample_docs=20) for d in (docs, other))
     assert a.code == b.code and np.array_equal(a.table, b.table) and a.bits == b.bits
+
+
+def test_a_language_known_only_from_long_texts_is_learnt(spark):
+    rows = [(1, "the cat sat on the mat and the dog ran " * 700, "en"), (2, "le chat est sur le tapis et le chien court " * 3, "fr"), (3, "the dog sat and ran", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = language.fit(docs)
+    assert sorted(parser.languages) == ["en", "fr"]
+    told = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, parser).collect()}
+    assert told == {1: "en", 2: "fr", 3: "en"}
+
+
+def test_the_language_stage_without_labels_keeps_every_text_with_a_letter(spark, odd_docs):
+    import corpus_pipeline
+
+    bare = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.known_language(spark, bare, None)
+    assert got.columns == bare.columns
+    want = sorted(repr(tuple(r)) for r in bare.collect() if any(ch.isalpha() for ch in r["text"] or ""))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    told = corpus_pipeline.known_language(spark, odd_docs, None)
+    assert told.where("lang is null").isEmpty()
