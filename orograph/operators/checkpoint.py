@@ -8,14 +8,15 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def _folder(df: DataFrame):
+def folder(df: DataFrame) -> str:
+    """The folder of this session for what its jobs write on the way."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orograph-checkpoint-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orograph-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -25,7 +26,7 @@ def durable(df: DataFrame) -> DataFrame:
     Where that setting is unset a local session, as in tests, gets a folder of its
     own; on a cluster it has to be set, since executors share no local folder.
     """
-    _folder(df)
+    folder(df)
     return df.checkpoint(eager=True)
 
 
@@ -43,7 +44,7 @@ class Rounds:
         self._last = None
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{_folder(df)}/rounds-{uuid.uuid4()}"
+        path = f"{folder(df)}/rounds-{uuid.uuid4()}"
         df.write.parquet(path)
         self.drop()
         self._last = (df.sparkSession, path)

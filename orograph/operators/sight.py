@@ -9,7 +9,7 @@ size check. Cells outside the grid and invalid cells do not block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,45 @@ def profiles(rays: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.col("h0") + (F.col("ground") - F.col("h0")) * F.col("n") / F.col("i")).alias("needed"),
     )
     return rays.join(out, keys, "left").withColumn("required", F.greatest("h1", F.coalesce("needed", "h1"))).drop("needed")
+
+
+def running(rays: DataFrame, cells: DataFrame, keys: list[str], block: int = 256) -> DataFrame:
+    """Samples (keys, i, n, required) of rays: the end height that clears all valid terrain up to each of them.
+
+    A running maximum along the ray: of whole blocks of samples first, then
+    inside each block, so that a long ray is no one task's work.
+    """
+    need = over_terrain(rays, cells).select(*keys, "i", "n", (F.col("h0") + (F.col("ground") - F.col("h0")) * F.col("n") / F.col("i")).alias("need"))
+    need = need.withColumn("b", F.floor(F.col("i") / block))
+    earlier = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = need.groupBy(*keys, "b").agg(F.max("need").alias("top")).select(*keys, "b", F.max("top").over(earlier).alias("top"))
+    inside = Window.partitionBy(*keys, "b").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return need.join(tops, [*keys, "b"]).select(*keys, "i", "n", F.greatest(F.max("need").over(inside), "top").alias("required"))
+
+
+def sweep(sites: DataFrame, cells: DataFrame) -> DataFrame:
+    """Least visible heights (station_id, r, c, d2, z, least_height) around sites (station_id, r, c, h0, range_cells).
+
+    One ray goes to each cell on the rim of a site's square, and what it has
+    passed hides what comes after, by a running maximum of slopes. A cell takes
+    the height of the ray that passes its centre most closely, the first of equals.
+    So the work of a site grows with the square of its range, where rays to every
+    cell grow with its cube. The cell of the site itself is left out.
+    """
+    reach = F.col("range_cells")
+    rays = sites.withColumnsRenamed({"r": "site_r", "c": "site_c"}).withColumn("k", F.explode(F.sequence(F.lit(0), 8 * reach - 1)))
+    side, along = F.floor(F.col("k") / (2 * reach)), F.col("k") % (2 * reach) - reach
+    dr = F.when(side == 0, -reach).when(side == 1, along).when(side == 2, reach).otherwise(-along)
+    dc = F.when(side == 0, along).when(side == 1, reach).when(side == 2, -along).otherwise(-reach)
+    steps = rays.withColumns({"dr": dr, "dc": dc}).withColumn("i", F.explode(F.sequence(F.lit(1), reach)))
+    near = lambda d: F.floor((2 * F.col(d) * F.col("i") + reach) / (2 * reach)).cast("int")
+    steps = steps.withColumns({"a": near("dr"), "b": near("dc")}).where(F.col("a") * F.col("a") + F.col("b") * F.col("b") <= reach * reach)
+    miss = lambda d, v: (F.col(d) * F.col("i") - reach * F.col(v)) * (F.col(d) * F.col("i") - reach * F.col(v))
+    steps = steps.withColumns({"r": F.col("site_r") + F.col("a"), "c": F.col("site_c") + F.col("b"), "off": miss("dr", "a") + miss("dc", "b")})
+    ground = cells.where("valid").select("r", "c", "z")
+    met = steps.join(ground, ["r", "c"]).withColumn("slope", (F.col("z") - F.col("h0")) / F.col("i"))
+    before = Window.partitionBy("station_id", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("needed", F.col("h0") + F.max("slope").over(before) * F.col("i"))
+    met = met.withColumn("least_height", F.greatest(F.lit(0.0), F.coalesce(F.col("needed") - F.col("z"), F.lit(0.0))))
+    d2 = F.col("a") * F.col("a") + F.col("b") * F.col("b")
+    return met.groupBy("station_id", "r", "c", d2.alias("d2"), "z").agg(F.min_by("least_height", F.struct("off", "k")).alias("least_height"))

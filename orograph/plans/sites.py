@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import scalars as S
-from orograph.operators import shapes
+from orograph.operators import resample, shapes
 from orograph.operators.registry import Registry
 from orograph.plans import visibility
 from orograph.sources import fixtures, geojson
@@ -71,17 +71,18 @@ def window_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("station_id", F.floor(dr / 2).cast("int").alias("row_offset"), F.floor(dc / 2).cast("int").alias("column_offset"), ((dr % 2 == 0) & (dc % 2 == 0)).alias("aligned"))
 
 
-@query(f"{with_('terrain', 'stations')}, {WINDOWS}, d AS (SELECT station_id, range_cells, n, x, CASE WHEN n <= 400 THEN 1.0 ELSE sqrt(n / 400.0::DOUBLE) END AS scale FROM (SELECT *, (2 * range_cells + 1) * (2 * range_cells + 1) AS n, 2 * range_cells + 1 AS x FROM windows)) SELECT station_id, n::INT AS native_cells, round(scale, 6)::DOUBLE AS scale, ceil(x / scale)::INT AS width, ceil(x / scale)::INT * ceil(x / scale)::INT <= 400 AS within FROM d")
+@query(f"""{with_('terrain', 'stations')}, {WINDOWS}, d AS (SELECT station_id, n, x, list_reduce(list_prepend(CASE WHEN n <= 400 THEN 1.0::DOUBLE ELSE sqrt(n / 400.0::DOUBLE) END, range(1, 65)::DOUBLE[]), lambda st, k: CASE WHEN ceil(x / st) * ceil(x / st) <= 400 THEN st ELSE st * sqrt(ceil(x / st) * ceil(x / st) / 400.0::DOUBLE) END) AS scale
+    FROM (SELECT *, (2 * range_cells + 1) * (2 * range_cells + 1) AS n, 2 * range_cells + 1 AS x FROM windows)) SELECT station_id, n::INT AS native_cells, round(scale, 6)::DOUBLE AS scale, ceil(x / scale)::INT AS width, ceil(x / scale)::INT * ceil(x / scale)::INT <= 400 AS within FROM d""")
 def cell_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of each station's box and the coarsening that a budget of 400 asks for."""
+    """Cells of each station's box and the coarsening that a budget of 400 asks for, made coarser until it holds."""
     side = 2 * F.col("range_cells") + 1
-    n = side * side
-    scale = F.when(n <= 400, F.lit(1.0)).otherwise(F.sqrt(n / 400.0))
-    width = F.ceil(side / scale).cast("int")
-    return fixtures.stations(spark, sf_dir).select("station_id", n.alias("native_cells"), F.round(scale, 6).alias("scale"), width.alias("width"), (width * width <= 400).alias("within"))
+    rows = fixtures.stations(spark, sf_dir).select("station_id", (side * side).alias("native_cells"), side.cast("double").alias("side"))
+    rows = rows.withColumn("scale", resample.within(F.col("native_cells"), F.col("side"), F.col("side"), F.lit(1.0), 400))
+    width = F.ceil(F.col("side") / F.col("scale")).cast("int")
+    return rows.select("station_id", "native_cells", F.round("scale", 6).alias("scale"), width.alias("width"), (width * width <= 400).alias("within"))
 
 
-@query(f"{with_('terrain', 'stations')}, {visibility.NEAR}, i AS (SELECT station_id, count(*) AS inside FROM near GROUP BY station_id), a AS (SELECT station_id, count(*) AS whole FROM stations, (SELECT unnest(range(-24, 25)) AS a), (SELECT unnest(range(-24, 25)) AS b) WHERE a * a + b * b <= range_cells * range_cells GROUP BY station_id) SELECT station_id, inside, whole, round(inside / whole, 6) AS extent_ratio, CASE WHEN inside / whole < 0.5 THEN 'reject' WHEN inside / whole < 0.98 THEN 'warn' ELSE 'ok' END AS state FROM i JOIN a USING (station_id)")
+@query(f"{with_('terrain', 'stations')}, {visibility.NEAR}, i AS (SELECT station_id, count(*) AS inside FROM near GROUP BY station_id), a AS (SELECT station_id, count(*) AS whole FROM stations, (SELECT unnest(range(-24, 25)) AS a), (SELECT unnest(range(-24, 25)) AS b) WHERE a * a + b * b <= range_cells * range_cells GROUP BY station_id) SELECT station_id, coalesce(inside, 0) AS inside, whole, round(coalesce(inside, 0) / whole, 6) AS extent_ratio, CASE WHEN coalesce(inside, 0) / whole < 0.5 THEN 'reject' WHEN inside / whole < 0.98 THEN 'warn' ELSE 'ok' END AS state FROM a LEFT JOIN i USING (station_id)")
 def extent_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each station's disc lies on the grid; under a half it is rejected, under 0.98 warned of."""
     inside = visibility.near(spark, sf_dir).groupBy("station_id").agg(F.count("*").alias("inside"))
@@ -90,7 +91,8 @@ def extent_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Cells of a row of the disc: twice the half chord, and the middle.
     disc = disc.groupBy("station_id").agg(F.sum((2 * F.floor(F.sqrt((reach * reach - F.col("a") * F.col("a")).cast("double"))) + 1).cast("long")).alias("whole"))
     ratio = F.col("inside") / F.col("whole")
-    return inside.join(disc, "station_id").select("station_id", "inside", "whole", F.round(ratio, 6).alias("extent_ratio"), case((ratio < 0.5, "reject"), (ratio < 0.98, "warn"), otherwise=F.lit("ok")).alias("state"))
+    joined = disc.join(inside, "station_id", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    return joined.select("station_id", "inside", "whole", F.round(ratio, 6).alias("extent_ratio"), case((ratio < 0.5, "reject"), (ratio < 0.98, "warn"), otherwise=F.lit("ok")).alias("state"))
 
 
 RANGES = "ranges AS (SELECT station_id, (range_cells * 10)::DOUBLE AS requested, CASE WHEN station_id % 5 > 0 THEN 40.0::DOUBLE * (1 + station_id % 9) END AS equation FROM stations)"
@@ -107,11 +109,11 @@ def effective_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges(spark, sf_dir).select("station_id", "requested", "equation", F.least("requested", "equation").alias("effective"), limited.alias("limited"))
 
 
-@query(f"{with_('stations')}, p AS (SELECT station_id, r, c, range_cells, azimuth_deg, width_deg, CASE WHEN width_deg >= 360 THEN 64 ELSE greatest(16, width_deg // 2) END AS steps FROM stations), v AS (SELECT *, unnest(range(0, steps + 1)) AS i FROM p), a AS (SELECT *, CASE WHEN width_deg >= 360 THEN 360.0::DOUBLE * i / steps ELSE azimuth_deg - width_deg / 2.0::DOUBLE + width_deg::DOUBLE * i / steps END AS az FROM v) SELECT station_id, i::INT AS i, round(c + range_cells * sin(radians(az)), 5) + 0.0 AS x, round(r - range_cells * cos(radians(az)), 5) + 0.0 AS y FROM a")
+@query(f"{with_('stations')}, p AS (SELECT station_id, r, c, range_cells, azimuth_deg, width_deg, CASE WHEN width_deg >= 360 THEN 512 ELSE greatest(16, width_deg // 2) END AS steps FROM stations), v AS (SELECT *, unnest(range(0, steps + 1)) AS i FROM p), a AS (SELECT *, CASE WHEN width_deg >= 360 THEN 360.0::DOUBLE * i / steps ELSE azimuth_deg - width_deg / 2.0::DOUBLE + width_deg::DOUBLE * i / steps END AS az FROM v) SELECT station_id, i::INT AS i, round(c + range_cells * sin(radians(az)), 5) + 0.0 AS x, round(r - range_cells * cos(radians(az)), 5) + 0.0 AS y FROM a")
 def range_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices of each station's range on its arc: a whole circle, or the fan's edge (its centre closes it)."""
     round_ = F.col("width_deg") >= 360
-    fan = fixtures.stations(spark, sf_dir).withColumn("steps", F.when(round_, F.lit(64)).otherwise(F.greatest(F.lit(16), F.floor(F.col("width_deg") / 2).cast("int"))))
+    fan = fixtures.stations(spark, sf_dir).withColumn("steps", F.when(round_, F.lit(512)).otherwise(F.greatest(F.lit(16), F.floor(F.col("width_deg") / 2).cast("int"))))
     fan = fan.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps"))))
     az = F.when(round_, 360.0 * F.col("i") / F.col("steps")).otherwise(F.col("azimuth_deg") - F.col("width_deg") / 2 + F.col("width_deg") * F.col("i") / F.col("steps"))
     fan = fan.withColumn("az", F.radians(az))

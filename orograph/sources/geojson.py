@@ -27,7 +27,7 @@ def roads(features: DataFrame, factors: dict[str, float], default: float = 1.2)
 
     Fixed values: the properties that may hold the class, in this order, and the factor of a class without one.
     """
-    name = F.lower(F.coalesce(*(F.try_element_at("properties", F.lit(k)) for k in ("class", "road_class", "highway")), F.lit("")))
+    name = F.lower(F.coalesce(*(F.nullif(F.try_element_at("properties", F.lit(k)), F.lit("")) for k in ("class", "road_class", "highway")), F.lit("")))
     table = F.create_map(*(F.lit(x) for kv in factors.items() for x in kv)) if factors else F.lit(None).cast("map<string,double>")
     lines = features.where(F.col("kind").isin("LineString", "MultiLineString"))
     return lines.select("file", name.alias("road_class"), F.coalesce(F.try_element_at(table, name), F.lit(default)).alias("factor"), "geometry")
