@@ -9,9 +9,8 @@ with the same commonest child are pooled, and one belongs to the pool unless a
 chi-squared test of homogeneity, over all its children, tells it apart at the
 level of one in twenty.
 A template's purity is the share of blocked pages among its labelled ones,
-smoothed towards a prior, and unlabelled pages count half as evidence that the
-template is not blocked as a whole; pages that no rule fits are blocked where the
-purity exceeds a threshold.
+smoothed towards a prior; pages that no rule fits are blocked where the purity
+exceeds a threshold.
 
 Scale: pages are folded to counts of (host, path of generalised segments) at
 once, with partial aggregation, so a hot page is one row. A level of the tree is
@@ -75,7 +74,6 @@ class Tree:
     z: float = 1.645  # of the normal distribution, for the level of the test
     smooth: float = 4.0
     prior: float = 0.25
-    unlabelled: float = 0.5
     threshold: float = 0.5
 
 
@@ -127,10 +125,9 @@ def templates(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     alike = F.col("total") / F.col("n") * F.col("q") - F.col("n") <= critical + 1e-9
     named = tested.select("host", "t1", F.when(alike, F.concat(F.lit("~"), "lead")).otherwise(F.col("t1")).alias("branch"))
     placed = durable(leaves.groupBy("host", "t1", "t2", "rest").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))).join(named, ["host", "t1"]))
-    purity = placed.groupBy("host", "branch", "t2", "rest").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    purity = placed.groupBy("host", "branch", "t2", "rest").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     a = float(tree.smooth)
-    weight = F.col("l") + tree.unlabelled * (F.col("n") - F.col("l")) + a
-    bad = (F.col("b") + a * tree.prior) / weight > tree.threshold
+    bad = (F.col("b") + a * tree.prior) / (F.col("l") + a) > tree.threshold
     judged = purity.select("host", "branch", "t2", "rest", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("learnt"))
     of_template = durable(placed.join(judged, ["host", "branch", "t2", "rest"]).select("host", "t1", "t2", "rest", "learnt"))
     return leaves.join(of_template, ["host", "t1", "t2", "rest"]).select("host", "path", "learnt")
@@ -172,7 +169,7 @@ ch AS (SELECT host, t1, lead, br.n, sum((o * o)::DOUBLE / p) AS q FROM k JOIN br
 nm AS (SELECT host, t1, CASE WHEN total::DOUBLE / n * q - n <= CASE WHEN f > 0 THEN f * pow(1 - 2 / (9 * f) + 1.645 * sqrt(2 / (9 * f)), 3) ELSE 0 END + 1e-9 THEN '~' || lead ELSE t1 END AS branch
        FROM ch JOIN wh USING (host, lead)),
 p AS (SELECT host, branch, t2, rest, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM leaf JOIN nm USING (host, t1) GROUP BY ALL),
-j AS (SELECT host, branch, t2, rest, CASE WHEN (b::DOUBLE + 1.0) / (l::DOUBLE + 0.5 * (n - l)::DOUBLE + 4.0) > 0.5 THEN 'block' ELSE 'allow' END AS learnt FROM p),
+j AS (SELECT host, branch, t2, rest, CASE WHEN (b::DOUBLE + 1.0) / (l::DOUBLE + 4.0) > 0.5 THEN 'block' ELSE 'allow' END AS learnt FROM p),
 q AS (SELECT host, g, learnt FROM leaf JOIN nm USING (host, t1) JOIN j USING (host, branch, t2, rest))
 SELECT page_id, host, path, rule, coalesce(verdict, learnt) AS verdict FROM v JOIN q USING (host, g)
 """

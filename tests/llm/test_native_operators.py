@@ -247,6 +247,6 @@ def test_branches_of_one_distribution_are_merged(spark):
     for branch, shares in (("one", (60, 30, 10)), ("two", (55, 33, 12)), ("odd", (20, 40, 40))):
         rows += [(f"http://site.io/{branch}/{child}/{k}") for child, n in zip(("x", "y", "z"), shares) for k in range(n)]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in urls.filtered(pages, (("block", "site.io/one/"),), urls.Tree(unlabelled=0.1)).collect()}
+    got = {r["page_id"]: r["verdict"] for r in urls.filtered(pages, (("block", "site.io/one/"),), urls.Tree()).collect()}
     of = lambda branch: {got[i] for i, u in enumerate(rows) if f"/{branch}/" in u}
     assert of("one") == {"block"} and of("two") == {"block"} and of("odd") == {"allow"}
