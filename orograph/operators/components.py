@@ -6,6 +6,9 @@ of rounds grows with the logarithm of the longest path. The links of a node are
 dealt to up to 1,024 parts, each joined with its own copy of the node's minimum,
 so a node with many links is no hot key. Every round is written to the shared
 checkpoint folder.
+
+A round is some fourteen shuffles. Where no more than ``FEW`` links are left, one
+task joins them in memory instead; the result is the same.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 
 from orograph.operators.checkpoint import Rounds, durable
 
+#: Links that one task may hold.
+FEW = 500_000
+
 
 def _spanning(batches):
     """Links of a batch reduced to a forest: each node with its smallest known root."""
@@ -36,6 +42,26 @@ def _spanning(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], names=["a", "b"])
 
 
+def _joined(batches):
+    """All links of a task: each node that is no root with its root."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = [n for n in root if find(n) != n]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], names=["node", "root"])
+
+
 def _hang(links: DataFrame, both_ways: bool, parts: int = 1024) -> DataFrame:
     """One star step over links (a > b). A node's links are dealt to parts, so that a hub is no one task's work."""
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else links
@@ -52,7 +78,7 @@ def _hang(links: DataFrame, both_ways: bool, parts: int = 1024) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, root) of every linked node but the roots; ``links`` has columns a and b.
 
     The root of a component is its smallest node. Self-links and repeated links
@@ -66,8 +92,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     before, rounds = state(pairs), Rounds()
     for _ in range(max_rounds):
-        if not before[0]:
-            break
+        if before[0] <= few:
+            out = durable(pairs.coalesce(1).mapInArrow(_joined, "node long, root long"))
+            rounds.drop()
+            return out
         pairs = rounds.keep(_hang(_hang(pairs, True), False))
         after = state(pairs)
         if after == before:

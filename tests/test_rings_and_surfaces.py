@@ -123,9 +123,10 @@ def test_nothing_has_no_rings(spark):
     assert rings.rings(regions.labelled(spark.createDataFrame([], "r int, c int, value int")), polygons.KEYS).isEmpty()
 
 
-def test_components_of_chains_stars_and_repeats(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components_of_chains_stars_and_repeats(spark, few):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 300)] + [(500, 500), (7, 3), (7, 3)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long"), few=few).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 300)}
 
 
