@@ -129,7 +129,7 @@ def target_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     ground = fixtures.terrain(spark, sf_dir).select(F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("z").alias("ground1"), F.col("valid").alias("valid1"))
     beams = fixtures.stations(spark, sf_dir).select("station_id", "azimuth_deg", "width_deg")
     rows = visibility.target_profiles(spark, sf_dir).join(ground, ["r1", "c1"], "left").join(beams, "station_id")
-    dx, dy, dh = F.col("c1") - F.col("c0"), F.col("r0") - F.col("r1"), F.col("h1") - F.col("h0")
+    dx, dy, dh = (F.col("c1") - F.col("c0")).cast("long"), (F.col("r0") - F.col("r1")).cast("long"), F.col("h1") - F.col("h0")
     away = F.sqrt((dx * dx + dy * dy).cast("double")) * 10
     sector = visibility.masks.sector(dx, dy, F.col("azimuth_deg"), F.col("width_deg"))
     verdict = case(
