@@ -51,7 +51,7 @@ def solid(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = flat.select(F.explode(F.array(*faces)).alias("t"))
     ways = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(a).alias("da"), F.lit(b).alias("db")) for n, ((a, b), _) in enumerate(SIDES)))
     asked = flat.withColumn("w", F.explode(ways)).withColumns({"nr": F.col("qr") + F.col("w.da"), "nc": F.col("qc") + F.col("w.db")})
-    rim = asked.join(flat.select(F.col("qr").alias("nr"), F.col("qc").alias("nc")), ["nr", "nc"], "left_anti")
+    rim = asked.join(flat.select(F.col("qr").alias("nr"), F.col("qc").alias("nc")).hint("merge"), ["nr", "nc"], "left_anti")
     walls = None
     for n, (_, (p, q)) in enumerate(SIDES):
         # The top triangle runs from q to p along this side, so its wall runs from p to q.
@@ -64,7 +64,7 @@ def solid(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     vertices = durable(numbered(corners, ["r", "c", "level"]))
     place = F.struct("r", "c", "level")
     ends = faces.select("face", F.posexplode(F.array("t.a", "t.b", "t.c")).alias("nth", "v"))
-    named = ends.join(vertices.select("id", place.alias("v")), "v").groupBy("face")
+    named = ends.join(vertices.select("id", place.alias("v")).hint("merge"), "v").groupBy("face")
     return vertices, named.agg(*(F.max(F.when(F.col("nth") == k, F.col("id"))).alias(n) for k, n in enumerate("abc"))).drop("face")
 
 

@@ -35,7 +35,7 @@ def bilinear(targets: DataFrame, cells: DataFrame, keys: list[str], need: str =
     rows = rows.withColumns({"w": part("y", "a") * part("x", "b"), "r": (F.floor("y") + F.col("a")).cast("int"), "c": (F.floor("x") + F.col("b")).cast("int")})
     # A corner of no weight need not be there.
     rows = rows.where("w > 0").withColumn("mid", (F.col("r") == F.floor(F.col("y") + 0.5)) & (F.col("c") == F.floor(F.col("x") + 0.5)))
-    met = rows.join(cells.where("valid").select("r", "c", "z"), ["r", "c"], "left")
+    met = rows.join(cells.where("valid").select("r", "c", "z").hint("merge"), ["r", "c"], "left")
     there = F.col("z").isNotNull()
     out = met.groupBy(*keys).agg(
         F.sum(F.when(there, F.col("w"))).alias("weight"), F.sum(F.col("w") * F.col("z")).alias("total"), F.bool_or(F.col("mid") & there).alias("nearest"), F.bool_and(there).alias("all")

@@ -76,7 +76,7 @@ def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda v, side: F.when(F.col(side) == 0, 1 - (F.col(v) - F.floor(v))).otherwise(F.col(v) - F.floor(v))
     rows = grid.withColumn("k", F.explode(corners)).select("i", "j", "x", "y", "k.a", "k.b")
     rows = rows.withColumns({"w": part("y", "a") * part("x", "b"), "r": (F.floor("y") + F.col("a")).cast("int"), "c": (F.floor("x") + F.col("b")).cast("int")})
-    out = rows.join(fixtures.terrain(spark, sf_dir).where("valid"), ["r", "c"]).groupBy("i", "j").agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("z")).alias("total"))
+    out = rows.join(fixtures.terrain(spark, sf_dir).where("valid").hint("merge"), ["r", "c"]).groupBy("i", "j").agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("z")).alias("total"))
     return out.where("weight > 1e-6").select("i", "j", F.round(F.col("total") / F.col("weight"), 6).alias("z"))
 
 
