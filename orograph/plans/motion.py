@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,38 +80,73 @@ s AS (SELECT route_id, seq, py + a AS r, px + b AS c, away FROM w JOIN o ON abs(
 foot AS (SELECT route_id, seq, r, c FROM s JOIN terrain USING (r, c) WHERE valid AND sqrt(away * away + (z - 400) * (z - 400)) <= 300 AND degrees(atan2(400 - z, away)) BETWEEN 20 AND 80)"""
 
 
-def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(route_id, seq, r, c) of the cells that a sensor sees from each waypoint.
-
-    Distance and heading do not need the terrain, so the cells of a waypoint are
-    named by offsets first, which meet it in bins of ten degrees, and then meet
-    the terrain by an equality join.
-    """
+def offsets(spark: SparkSession) -> list:
+    """The cells (a, b) 4 to 30 away from a waypoint with their distance and azimuth: some 2,700 rows, whatever the data."""
     place = spark.range(61 * 61).select((F.floor(F.col("id") / 61) - 30).cast("int").alias("a"), (F.col("id") % 61 - 30).cast("int").alias("b"))
     d2 = F.col("a") * F.col("a") + F.col("b") * F.col("b")
     azimuth = S.azimuth(F.col("b").cast("double"), -F.col("a").cast("double"))
-    offsets = place.where(d2.between(16, 900)).select("a", "b", (F.sqrt(d2.cast("double")) * 10).alias("away"), azimuth.alias("az"))
-    offsets = offsets.withColumn("bin", F.floor(F.col("az") / 10).cast("int"))  # some 2,700 rows, whatever the data
+    return place.where(d2.between(16, 900)).select("a", "b", (F.sqrt(d2.cast("double")) * 10).alias("away"), azimuth.alias("az")).collect()
+
+
+def footprints(spark: SparkSession, sf_dir: str, union: bool, side: int = 128, most: int = 4096) -> DataFrame:
+    """How many cells a sensor sees in each tile: from each waypoint (route_id, seq, cells), or with ``union`` of each route (route_id, union_cells, sum_cells).
+
+    Waypoints are sent to the tiles that their reach touches and meet the
+    terrain there; a cell is of one tile, so what tiles count adds up. A task has
+    at most about ``most`` waypoints over one tile, and all of a route.
+    """
+    fixed = np.array([tuple(x) for x in offsets(spark)])
+    da, db, away, az = fixed[:, 0].astype(np.int64), fixed[:, 1].astype(np.int64), fixed[:, 2], fixed[:, 3]
     points = fixtures.routes(spark, sf_dir).select("route_id", "seq", F.col("y").cast("int").alias("py"), F.col("x").cast("int").alias("px"), "heading")
-    low, high = F.floor((F.col("heading") - 45) / 10).cast("int"), F.floor((F.col("heading") + 45) / 10).cast("int")
-    points = points.withColumn("bin", F.explode(F.sequence(low, high))).withColumn("bin", F.pmod("bin", F.lit(36)))
-    seen = points.join(F.broadcast(offsets), "bin").where(S.turn(F.col("az"), F.col("heading")) <= 45)
-    seen = seen.select("route_id", "seq", (F.col("py") + F.col("a")).alias("r"), (F.col("px") + F.col("b")).alias("c"), "away")
-    cells = seen.join(fixtures.terrain(spark, sf_dir).where("valid"), ["r", "c"])
-    slant = F.sqrt(F.col("away") * F.col("away") + (F.col("z") - 400) * (F.col("z") - 400))
-    down = F.degrees(F.atan2(400 - F.col("z"), F.col("away")))
-    return cells.where((slant <= 300) & down.between(20, 80)).select("route_id", "seq", "r", "c")
+    touched = lambda n: F.explode(F.sequence(F.floor((F.col(n) - 30) / side), F.floor((F.col(n) + 30) / side)))
+    points = points.withColumn("tr", touched("py")).withColumn("tc", touched("px"))
+    terrain = fixtures.terrain(spark, sf_dir).where("valid").select("r", "c", "z", F.floor(F.col("r") / side).alias("tr"), F.floor(F.col("c") / side).alias("tc"))
+    parts = points.groupBy("tr", "tc").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))  # one row a tile
+    points = points.join(F.broadcast(parts), ["tr", "tc"]).withColumn("part", F.pmod(F.xxhash64("route_id"), "parts").cast("int")).drop("parts")
+    terrain = terrain.join(F.broadcast(parts), ["tr", "tc"]).select(F.col("tr").alias("to_tr"), F.col("tc").alias("to_tc"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to_part"), "r", "c", "z")
+    names = ["route_id", "union_cells", "sum_cells"] if union else ["route_id", "seq", "cells"]
+
+    def look(key, some: pa.Table, ground: pa.Table) -> pa.Table:
+        out = []
+        if some.num_rows and ground.num_rows:
+            top, left, wide = key[0].as_py() * side - 60, key[1].as_py() * side - 60, side + 120
+            z = np.full(wide * wide, np.nan)  # with a margin as wide as the way there and back
+            z[(ground["r"].to_numpy().astype(np.int64) - top) * wide + ground["c"].to_numpy() - left] = ground["z"].to_numpy()
+            by_heading, whose = {}, {}
+            for route, seq, py, px, heading in zip(*(some[n].to_pylist() for n in ("route_id", "seq", "py", "px", "heading")), strict=True):
+                if heading not in by_heading:
+                    ahead = np.abs(np.fmod(az - heading + 180 + 360, 360) - 180) <= 45
+                    by_heading[heading] = (da[ahead] * wide + db[ahead], away[ahead])
+                step, far = by_heading[heading]
+                at = (py - top) * wide + px - left + step
+                high = z[at]
+                down = np.degrees(np.arctan2(400 - high, far))
+                seen = (np.sqrt(far * far + (high - 400) * (high - 400)) <= 300) & (down >= 20) & (down <= 80)  # not where there is no ground
+                if union:
+                    whose.setdefault(route, []).append(at[seen])
+                elif seen.any():
+                    out.append((route, seq, int(seen.sum())))
+            for route, cells in whose.items():
+                total = sum(map(len, cells))
+                if total:
+                    out.append((route, len(np.unique(np.concatenate(cells))) if len(cells) > 1 else total, total))
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=names)
+
+    schema = ", ".join(f"{n} long" for n in names)
+    found = points.groupBy("tr", "tc", "part").cogroup(terrain.groupBy("to_tr", "to_tc", "to_part")).applyInArrow(look, schema)
+    keys = [n for n in names if not n.endswith("cells")]
+    return found.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names if n not in keys))
 
 
 @query(f"{with_('terrain', 'routes')}, {FOOT} SELECT route_id, seq, count(*) AS cells FROM foot GROUP BY ALL")
 def sensor_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return footprints(spark, sf_dir).groupBy("route_id", "seq").agg(F.count("*").alias("cells"))
+    return footprints(spark, sf_dir, False).withColumn("seq", F.col("seq").cast("int"))
 
 
 @query(f"{with_('terrain', 'routes')}, {FOOT}, u AS (SELECT route_id, count(*) AS union_cells, sum(n)::BIGINT AS sum_cells FROM (SELECT route_id, r, c, count(*) AS n FROM foot GROUP BY ALL) GROUP BY route_id) SELECT *, sum_cells - union_cells AS overlap_cells FROM u")
 def route_coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_cell = footprints(spark, sf_dir).groupBy("route_id", "r", "c").agg(F.count("*").alias("n"))
-    out = per_cell.groupBy("route_id").agg(F.count("*").alias("union_cells"), F.sum("n").alias("sum_cells"))
+    out = footprints(spark, sf_dir, True)
     return out.withColumn("overlap_cells", F.col("sum_cells") - F.col("union_cells"))
 
 
