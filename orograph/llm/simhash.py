@@ -14,11 +14,13 @@ wiped out, whose groups hold four fingerprints at most. So work stays linear in
 the number of fingerprints and no link is lost. Components come from links by
 star contraction in the shared checkpoint folder.
 
-``near_copies`` reaches further and checks the texts. Its keys wipe out whole
-segments instead of single bits: of ``bits`` + ``kept`` segments at least ``kept``
-are equal in two fingerprints at most ``bits`` apart, so every choice of ``kept``
-of them is a key. ``kept`` grows with the number of fingerprints, so that groups
-do not grow with it; the pairs found are the same.
+``near_copies`` reaches further, five bits, by the same variants: of ``bits`` // 2
++ 1 segments one at least differs in at most one bit, so the index holds each
+segment with one bit wiped out, three of them for five bits. It then checks the
+whole fingerprints and the texts. Segments of more bits apart get too short for
+that; there keys wipe out whole segments: of ``bits`` + ``kept`` segments at least
+``kept`` are equal, so every choice of ``kept`` of them is a key. ``kept`` grows
+with the number of fingerprints; the pairs found are the same.
 
 Cases: null and empty texts, and texts of white space, have no words and
 fingerprint zero, and link like any other fingerprint. Texts of one or two words
@@ -42,6 +44,12 @@ from orograph.llm.components import components
 #: Rows of an index group that a task compares in memory.
 GROUP_ROWS = 4096
 
+#: Bits apart up to which near copies meet on variants with one bit wiped out, of 20 bits or more.
+VARIANT_BITS = 5
+
+#: Groups up to this size are compared many at once.
+FEW_ROWS = 64
+
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     """The fingerprint of one UTF-8 text: the majority of its shingles' hash bits."""
@@ -274,22 +282,23 @@ def _by_segments(nodes: DataFrame, bits: int, kept: int) -> DataFrame:
     return nodes.select("node", "fp", "root").mapInArrow(run, "key long, node long, fp long, root long")
 
 
-def _groups(batches, columns: int):
-    """(key, rows) for rows of longs sorted by their first column, whatever batch they come in."""
-    held, held_key = [], None
+def _whole_groups(batches, columns: int):
+    """(keys, rows) for rows of longs sorted by their first column: pieces that hold every group whole."""
+    held, held_key = [], None  # the last group so far, which may go on
     for batch in batches:
-        keys, rows = batch.column(0).to_numpy(), np.column_stack([batch.column(i).to_numpy() for i in range(1, columns)])
-        edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)].tolist()
-        for low, high in zip(edges, edges[1:], strict=False):
-            if low == high:
-                continue
-            if held and keys[low] != held_key:
-                yield held_key, np.concatenate(held) if len(held) > 1 else held[0]
-                held = []
-            held_key = int(keys[low])
-            held.append(rows[low:high])
+        table = np.column_stack([batch.column(i).to_numpy() for i in range(columns)])
+        if not len(table):
+            continue
+        if not held or table[-1, 0] != held_key:
+            done = int(np.flatnonzero(table[:, 0] == table[-1, 0])[0])
+            piece = np.concatenate([*held, table[:done]]) if held else table[:done]
+            if len(piece):
+                yield piece[:, 0], piece[:, 1:]
+            held, held_key, table = [], table[-1, 0], table[done:]
+        held.append(table)
     if held:
-        yield held_key, np.concatenate(held)
+        piece = np.concatenate(held)
+        yield piece[:, 0], piece[:, 1:]
 
 
 def _leaders(bits: int):
@@ -316,56 +325,102 @@ def _leaders(bits: int):
     return run
 
 
-def _close_pairs(bits: int, kept: int, group_rows: int | None):
-    """For rows (key, node, fp, root) in key order: pairs (a, b) of close nodes with different roots.
+def _segments(bits: int) -> int:
+    """So many segments that one of them differs in at most one bit."""
+    return max(2, bits // 2 + 1)
 
-    A pair is told only under the first choice of segments that both share. Rows
-    of a group of more than ``group_rows`` are passed on in the other columns.
-    """
+
+def _first_variant(bits: int):
+    """For differences of pairs: the place of the first bit with whose wiping out a segment is equal."""
+    cuts = _cuts(_segments(bits) - 1, 1)
+
+    def first(apart: np.ndarray) -> np.ndarray:
+        out = np.full(len(apart), -1)
+        for low, width in reversed(cuts):
+            part = (apart >> np.uint64(low)) & np.uint64((1 << width) - 1)
+            place = np.where(part == 0, 0, np.bitwise_count(part - np.uint64(1)))
+            out = np.where(np.bitwise_count(part) <= 1, low + place, out)
+        return out
+
+    return first
+
+
+def _first_choice(bits: int, kept: int):
+    """For differences of pairs: the number of the first choice of ``kept`` segments that are equal."""
     lows = [a for a, _ in _cuts(bits, kept)]
     numbers = {c: i for i, c in enumerate(combinations(range(bits + kept), kept))}
 
-    def told(key, rows):
+    def first(apart: np.ndarray) -> np.ndarray:
+        equal = np.add.reduceat(np.unpackbits(apart.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1], lows, axis=1) == 0
+        return np.array([numbers[tuple(np.flatnonzero(e)[:kept].tolist())] for e in equal], np.int64)
+
+    return first
+
+
+def _close_pairs(bits: int, first, upper: int, group_rows: int | None):
+    """For rows (key, node, fp, root) in key order: pairs (a, b) of close nodes with different roots.
+
+    A pair is told only under the ``first`` key that both share, whose number is
+    in a key's bits from ``upper`` on. Rows of a group of more than ``group_rows``
+    are passed on in the other columns.
+    """
+
+    def pairs(numbers, a, b):
+        """Of rows side by side those that are close, in different components so far, and told here."""
+        apart = a[:, 1].view(np.uint64) ^ b[:, 1].view(np.uint64)
+        near = np.flatnonzero((np.bitwise_count(apart) <= bits) & (a[:, 2] != b[:, 2]))
+        near = near[first(apart[near]) == numbers[near]] if len(near) else near
+        return np.minimum(a[near, 0], b[near, 0]), np.maximum(a[near, 0], b[near, 0])
+
+    def small(keys, rows, sizes):
+        """Pairs of groups of few rows: all rows with the next of their group, with the one after it and so on."""
+        left = np.repeat(sizes, sizes) - 1 - (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes))  # rows after this one
+        for step in range(1, int(sizes.max(initial=1))):
+            at = np.flatnonzero(left >= step)
+            yield pairs(keys[at] >> upper, rows[at], rows[at + step])
+
+    def large(key, rows):
         nodes, fps, roots = rows[:, 0], np.ascontiguousarray(rows[:, 1]).view(np.uint64), rows[:, 2]
         for at in range(0, len(rows), 256):
-            part = fps[at : at + 256]
-            apart = part[:, None] ^ fps[None, at:]
+            apart = fps[at : at + 256, None] ^ fps[None, at:]
             near = (np.bitwise_count(apart) <= bits) & (roots[at : at + 256, None] != roots[None, at:])
             i, j = np.nonzero(np.triu(near, 1))
             if len(i):
-                equal = np.add.reduceat(np.unpackbits(apart[i, j].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1], lows, axis=1) == 0
-                mine = [k for k, e in enumerate(equal) if numbers[tuple(np.flatnonzero(e)[:kept].tolist())] == key >> 48]
-                if mine:
-                    a, b = nodes[at + i[mine]], nodes[at + j[mine]]
-                    yield np.minimum(a, b), np.maximum(a, b)
+                mine = first(apart[i, j]) == key >> upper
+                a, b = nodes[at + i[mine]], nodes[at + j[mine]]
+                yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches):
         import pyarrow as pa
 
-        def record(found, large):
-            n, m = sum(len(a) for a, _ in found), sum(len(r) for _, r in large)
-            pairs = [np.concatenate([f[c] for f in found]) if n else np.zeros(0, np.int64) for c in (0, 1)]
-            others = [np.concatenate([np.full(len(r), k) for k, r in large]), *np.concatenate([r for _, r in large]).T] if m else [np.zeros(0, np.int64)] * 4
-            cols = [pa.concat_arrays([pa.array(p, pa.int64()), pa.nulls(m, pa.int64())]) for p in pairs]
+        def record(found, passed):
+            n, m = sum(len(a) for a, _ in found), sum(len(r) for _, r in passed)
+            ends = [np.concatenate([f[c] for f in found]) if n else np.zeros(0, np.int64) for c in (0, 1)]
+            others = [np.concatenate([np.full(len(r), k) for k, r in passed]), *np.concatenate([r for _, r in passed]).T] if m else [np.zeros(0, np.int64)] * 4
+            cols = [pa.concat_arrays([pa.array(p, pa.int64()), pa.nulls(m, pa.int64())]) for p in ends]
             cols += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(o, pa.int64())]) for o in others]
             return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "node", "fp", "root"])
 
-        found, large, rows = [], [], 0
-        for key, group in _groups(batches, 4):
-            if len(group) == 1 or (group[:, 2] == group[0, 2]).all():
-                continue
-            if group_rows and len(group) > group_rows:
-                large.append((key, group))
-                rows += len(group)
-            else:
-                for pair in told(key, group):
+        for keys, rows in _whole_groups(batches, 4):
+            edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+            sizes, most = np.diff(edges), min(group_rows or FEW_ROWS, FEW_ROWS)
+            few = np.repeat((sizes > 1) & (sizes <= most), sizes)
+            found, passed, held = list(small(keys[few], rows[few], sizes[(sizes > 1) & (sizes <= most)])), [], 0
+            for k in np.flatnonzero(sizes > most).tolist():
+                key, group = int(keys[edges[k]]), rows[edges[k] : edges[k + 1]]
+                if (group[:, 2] == group[0, 2]).all():
+                    continue
+                if group_rows and len(group) > group_rows:
+                    passed.append((key, group))
+                    continue
+                for pair in large(key, group):
                     found.append(pair)
-                    rows += len(pair[0])
-            if rows >= 1 << 16:
-                yield record(found, large)
-                found, large, rows = [], [], 0
-        if found or large:
-            yield record(found, large)
+                    held += len(pair[0])
+                    if held >= 1 << 16:
+                        yield record(found, passed)
+                        found, passed, held = [], [], 0
+            if passed or any(len(a) for a, _ in found):
+                yield record(found, passed)
 
     return run
 
@@ -373,19 +428,28 @@ def _close_pairs(bits: int, kept: int, group_rows: int | None):
 _MET = "a long, b long, key long, node long, fp long, root long"
 
 
-def close_pairs(nodes: DataFrame, bits: int, kept: int, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
-    """Every pair (a < b) of nodes (node, fp, root) with fingerprints up to ``bits`` apart and different roots."""
-    met = durable(_by_segments(nodes, bits, kept).repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs(bits, kept, group_rows), _MET))
+def close_pairs(nodes: DataFrame, bits: int, kept: int | None = None, group_rows: int = 8 * GROUP_ROWS) -> DataFrame:
+    """Every pair (a < b) of nodes (node, fp, root) with fingerprints up to ``bits`` apart and different roots.
+
+    They meet on variants of segments with one bit wiped out or, with ``kept``,
+    on choices of so many segments.
+    """
+    if kept is None:
+        keyed = nodes.select(F.explode(_variants(F.col("fp"), _segments(bits))).alias("key"), "node", "fp", "root")
+        first, upper = _first_variant(bits), 32
+    else:
+        keyed, first, upper = _by_segments(nodes, bits, kept), _first_choice(bits, kept), 48
+    met = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs(bits, first, upper, group_rows), _MET))
     # Of a large group every two parts meet in a task of their own.
     large = met.where("a is null").select("key", "node", "fp", "root")
     many = large.groupBy("key").agg(F.ceil(2 * F.count("*") / group_rows).cast("int").alias("many"))
     dealt = large.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
-    # The number of the choice of segments stays in the key's upper bits, which tell repeated pairs.
-    body = F.pmod(F.xxhash64("key", "low", "high"), F.lit(1 << 48))
-    dealt = dealt.select(F.shiftright("key", 48).alias("number"), body.alias("body"), "node", "fp", "root").select(F.shiftleft("number", 48).bitwiseOR(F.col("body")).alias("key"), "node", "fp", "root")
-    rest = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs(bits, kept, None), _MET)
+    # The number of the variant or choice stays in the key's upper bits, which tell repeated pairs.
+    body = F.pmod(F.xxhash64("key", "low", "high"), F.lit(1 << upper))
+    dealt = dealt.select(F.shiftright("key", upper).alias("number"), body.alias("body"), "node", "fp", "root").select(F.shiftleft("number", upper).bitwiseOR(F.col("body")).alias("key"), "node", "fp", "root")
+    rest = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close_pairs(bits, first, upper, None), _MET)
     return met.where("a is not null").select("a", "b").union(rest.select("a", "b")).distinct()
 
 
@@ -395,9 +459,12 @@ def similar_links(nodes: DataFrame, docs: DataFrame, size: int = 5, percent: int
     First nodes are checked against one node of the groups they meet it in, three
     times with other nodes, which joins most of a large group of copies without telling
     its pairs. Then all pairs are checked whose ends are in different components
-    so far. So no pair is left out, and the first steps change only the work.
+    so far, met on variants with one bit wiped out (``close_pairs``; beyond
+    ``VARIANT_BITS``, or with ``kept``, on whole segments). So no pair is left out,
+    and the first steps change only the work.
     """
-    kept = kept or kept_segments(bits, nodes.count())
+    if kept is None and bits > VARIANT_BITS:
+        kept = kept_segments(bits, nodes.count())
     wide = 64 // 6
     keys = F.array(*(F.shiftrightunsigned("fp", wide * i).bitwiseAND(F.lit((1 << wide) - 1).cast("long")).bitwiseOR(F.lit(i << 48).cast("long")) for i in range(6)))
     placed, asked = nodes.select("node", "fp", F.col("node").alias("root")), None
