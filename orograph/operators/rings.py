@@ -1,14 +1,15 @@
 """Closed rings around regions of a grid, as polygons with holes.
 
-Every cell sends its four sides, directed so that the cell lies to the right;
-sides that two cells of a region share cancel. What is left joins into rings by
+A cell has four sides, directed so that the cell lies to the right; sides that
+two cells of a region share are none. The others join into rings by
 a successor at each corner: the sharpest turn to the right, which keeps cells
 that touch only at a corner apart. Shells go round with a positive area and
 holes with a negative one, and as a region is 4-connected it has one shell, to
 which its holes belong.
 
-Order along a ring is list ranking: a task follows the sides inside a square
-tile, which leaves one row for each stretch of a ring through a tile, and the
+A task has the cells of a square tile and those around it, so that every side and
+its successor is told there. Order along a ring is list ranking: the task follows
+the sides inside its tile, which leaves one row for each stretch of a ring through a tile, and the
 stretches are ranked by pointers that double each round. So no ring, however
 long, passes through one task, and rounds number the logarithm of the tiles it
 crosses.
@@ -16,14 +17,16 @@ crosses.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orograph.operators.checkpoint import Rounds, durable
 
-TILE = 64
-#: Per side of a cell (top, right, bottom, left; so east, south, west, north): where it begins, and the key of the line under it.
-SIDES = [(0, 0, "h", 0, 0), (0, 1, "v", 0, 1), (1, 1, "h", 1, 0), (1, 0, "v", 0, 0)]
+TILE = 256
+#: Per side of a cell (top, right, bottom, left; so east, south, west, north): where it begins.
+SIDES = [(0, 0), (0, 1), (1, 1), (1, 0)]
 _STEP_Y, _STEP_X = (0, 1, 0, -1), (1, 0, -1, 0)
 
 
@@ -31,36 +34,8 @@ def _picked(values: tuple[int, ...], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
 
 
-def sides(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Directed boundary sides (keys, id, way, y, x) of cells (keys, r, c); ``way`` is 0 to 3 for east, south, west, north.
-
-    ``id`` orders sides by the row, column and side of their cell.
-    """
-    each = F.array(*(F.struct(F.lit(k).alias("way"), F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(kind).alias("kind"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (y, x, kind, a, b) in enumerate(SIDES)))
-    sent = cells.withColumn("s", F.explode(each)).select(
-        *keys, F.col("s.way").alias("way"), F.col("s.kind").alias("kind"), (F.col("r") + F.col("s.a")).alias("kr"), (F.col("c") + F.col("s.b")).alias("kc"),
-        (F.col("r") + F.col("s.y")).alias("y"), (F.col("c") + F.col("s.x")).alias("x"), ((F.col("r").cast("long") * 2**31 + F.col("c")) * 4 + F.col("s.way")).alias("id"),
-    )
-    one = sent.groupBy(*keys, "kind", "kr", "kc").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("id", "way", "y", "x"))).where("n = 1")
-    return one.select(*keys, "id", "way", "y", "x")
-
-
-def followed(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Sides with the one that comes next on their ring (``next``, ``next_way``)."""
-    heads = edges.withColumns({"hy": F.col("y") + _picked(_STEP_Y, F.col("way")), "hx": F.col("x") + _picked(_STEP_X, F.col("way"))})
-    tails = edges.select(*keys, F.col("y").alias("hy"), F.col("x").alias("hx"), F.col("id").alias("to"), F.col("way").alias("to_way"))
-    turn = F.element_at(F.array(*map(F.lit, (1, 0, 9, 2))), (F.pmod(F.col("to_way") - F.col("way"), F.lit(4)) + 1).cast("int"))  # straight, right, back, left
-    met = heads.join(tails, [*keys, "hy", "hx"])
-    best = met.groupBy(*keys, "id", "way", "y", "x").agg(F.min_by(F.struct("to", "to_way"), turn).alias("to"))
-    return best.select(*keys, "id", "way", "y", "x", F.col("to.to").alias("next"), F.col("to.to_way").alias("next_way"))
-
-
-def _stretches(pdf):
-    """Sides of a tile (id, next) with the first side of their stretch inside the tile and their place on it."""
-    import numpy as np
-    import pandas as pd
-
-    ids, nexts = pdf["id"].to_numpy(), pdf["next"].to_numpy()
+def _stretches(ids, nexts):
+    """For sides of a tile and those that come next: the first side of their stretch inside the tile, and their place on it."""
     order = np.argsort(ids)
     at = np.searchsorted(ids, nexts, sorter=order)
     at = np.where(at < len(ids), order[np.minimum(at, len(ids) - 1)], 0)
@@ -84,7 +59,53 @@ def _stretches(pdf):
     for i in order.tolist():  # whole rings inside the tile, from their least side
         if place[i] < 0:
             walk(i)
-    return pd.DataFrame({"id": ids, "next": nexts, "head": head, "place": place})
+    return head, place
+
+
+def followed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Directed boundary sides of cells (keys, r, c) and what comes next: keys, id, way, next, next_way, y, x, head and place.
+
+    ``way`` is 0 to 3 for east, south, west, north, and ``id`` orders sides by the
+    row, column and side of their cell; ``head`` is the first side of their
+    stretch inside a tile and ``place`` theirs on it. A task has the cells of one
+    tile and those around it.
+    """
+    size = TILE
+    reach = lambda n: F.explode(F.sequence(F.floor((F.col(n) - 1) / size), F.floor((F.col(n) + 1) / size)))
+    sent = cells.select(*keys, "r", "c").withColumn("ty", reach("r")).withColumn("tx", reach("c"))
+    typed = lambda n, t: f"`{n}` {t}"
+    kinds = {f.name: f.dataType.simpleString() for f in sent.schema}
+    told = {"id": "long", "way": "int", "next": "long", "next_way": "int", "y": kinds["r"], "x": kinds["c"], "head": "long", "place": "long"}
+
+    def trace(tile: tuple, some: pa.Table) -> pa.Table:
+        top, left = (k.as_py() * size - 1 for k in tile)
+        r, c = (some[n].to_numpy().astype(np.int64) for n in ("r", "c"))
+        code = np.zeros(some.num_rows, np.int64)
+        for k in keys:
+            each = some[k].combine_chunks().dictionary_encode()
+            at = each.indices.fill_null(len(each.dictionary)).to_numpy(zero_copy_only=False)
+            code = np.unique(code * (len(each.dictionary) + 1) + at, return_inverse=True)[1]
+        label, y, x = np.full((size + 2, size + 2), -1), r - top, c - left
+        label[y, x] = code
+        mine = np.flatnonzero((y > 0) & (y <= size) & (x > 0) & (x <= size))
+        found = []
+        for way in range(4):
+            (dy, dx), (ly, lx) = ((_STEP_Y[w % 4], _STEP_X[w % 4]) for w in (way, way + 3))  # ahead and to the left
+            side = mine[label[y[mine] + ly, x[mine] + lx] != code[mine]]
+            same = lambda a, b: label[y[side] + a, x[side] + b] == code[side]  # noqa: B023, E731
+            ahead, across = same(dy, dx), same(dy + ly, dx + lx)
+            # Right around the cell itself if none of the region lies ahead, straight along that one, or left along the one across.
+            turned = np.where(ahead, np.where(across, way + 3, way), way + 1) % 4
+            to_r, to_c = r[side] + ahead * (dy + across * ly), c[side] + ahead * (dx + across * lx)
+            number = lambda a, b, w: (a * 2**31 + b) * 4 + w
+            found.append((side, number(r[side], c[side], way), np.full(len(side), way), number(to_r, to_c, turned), turned, r[side] + SIDES[way][0], c[side] + SIDES[way][1]))
+        side, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
+        columns += _stretches(columns[0], columns[2])
+        arrays = [pa.array(v.astype({"int": np.int32}.get(t, np.int64))) for v, t in zip(columns, told.values(), strict=True)]
+        return pa.table([*some.select(keys).take(pa.array(side)).columns, *arrays], names=[*keys, *told])
+
+    schema = ", ".join(typed(*x) for x in [*((k, kinds[k]) for k in keys), *told.items()])
+    return sent.groupBy("ty", "tx").applyInArrow(trace, schema)
 
 
 def _doubled(rows: DataFrame, to: str, take: dict[str, Column]) -> DataFrame:
@@ -93,13 +114,13 @@ def _doubled(rows: DataFrame, to: str, take: dict[str, Column]) -> DataFrame:
     return rows.join(ahead, to, "left").select("head", F.col(f"far_{to}").alias(to), *(v.alias(n) for n, v in take.items()))
 
 
-def ranked(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Sides (with id, next, y, x) with ``ring``, the least side of their ring, ``n``, its length, and ``nth``, their place from that side on."""
-    tile = lambda v: F.floor(F.col(v) / TILE)
-    placed = durable(edges.select("id", "next", tile("y").alias("ty"), tile("x").alias("tx")).groupBy("ty", "tx").applyInPandas(_stretches, "id long, next long, head long, place long"))
-    chains = placed.groupBy("head").agg(F.count("*").alias("length"), F.max_by("next", "place").alias("exit"), F.min("id").alias("least"))
-    chains = durable(chains.join(placed.select(F.col("id").alias("least"), F.col("place").alias("least_at")), "least"))
-    labels = chains.where("exit <> head").select("head", F.col("exit").alias("to"), F.col("least").alias("ring"))
+def ranked(placed: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Sides (as ``followed`` gives them) with ``ring``, the least side of their ring, ``n``, its length, and ``nth``, their place from that side on."""
+    chains = placed.groupBy("head").agg(F.count("*").alias("length"), F.max_by("next", "place").alias("exit"), F.min("id").alias("least"), F.min_by("place", "id").alias("least_at"))
+    chains = durable(chains)
+    within = chains.where("exit = head").select("head", F.col("least").alias("ring"), F.col("length").alias("n"), (-F.col("least_at")).alias("start"))
+    chains = chains.where("exit <> head")
+    labels = chains.select("head", F.col("exit").alias("to"), F.col("least").alias("ring"))
     told, run = Rounds(), Rounds()
     for _ in range(max_rounds):
         new = told.keep(_doubled(labels, "to", {"ring": F.least("ring", "far_ring"), "changed": F.col("far_ring") < F.col("ring")}))
@@ -108,7 +129,7 @@ def ranked(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             break
     else:
         raise RuntimeError("rings did not settle")
-    of = chains.join(labels.select("head", "ring"), "head", "left").withColumn("ring", F.coalesce("ring", "least"))
+    of = chains.join(labels.select("head", "ring"), "head")
     # The stretch with the least side comes first; what is left to run from each stretch to the end, again by doubling.
     first = of.where("ring = least").select(F.col("head").alias("exit"), F.lit(True).alias("last"))
     ends = durable(of.join(first, "exit", "left"))
@@ -121,15 +142,15 @@ def ranked(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError("rings did not end")
     whole = ends.where("ring = least").join(left, "head").select("ring", F.col("left").alias("n"), "least_at")
-    starts = durable(ends.select("head", "ring").join(left, "head").join(whole, "ring").select("head", "ring", "n", (F.col("n") - F.col("left") - F.col("least_at")).alias("start")))
+    starts = ends.select("head", "ring").join(left, "head").join(whole, "ring").select("head", "ring", "n", (F.col("n") - F.col("left") - F.col("least_at")).alias("start"))
+    starts = durable(starts.union(within))
     run.drop()
-    at = placed.select("id", "head", "place").join(starts, "head").select("id", "ring", "n", F.pmod(F.col("start") + F.col("place"), F.col("n")).alias("nth"))
-    return edges.join(at, "id")
+    return placed.join(starts, "head").withColumn("nth", F.pmod(F.col("start") + F.col("place"), F.col("n"))).drop("head", "place", "start")
 
 
 def rings(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Boundary sides of regions of cells (keys, r, c), in order: keys, id, way, next_way, y, x, ring, n and nth."""
-    return ranked(durable(followed(sides(cells, keys), keys)))
+    """Boundary sides of regions of cells (keys, r, c), in order: keys, id, way, next, next_way, y, x, ring, n and nth."""
+    return ranked(durable(followed(cells, keys)))
 
 
 def summary(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,8 +169,6 @@ def corners(edges: DataFrame, keys: list[str]) -> DataFrame:
 def _thinned(tolerance: float):
     """Of corners of a stretch, in order, those that a line within the tolerance of all must keep, by halving at the farthest."""
 
-    import numpy as np
-
     def run(pdf):
         import pandas as pd
 
