@@ -21,11 +21,11 @@ def blocks(r: str = "r", c: str = "c") -> dict[str, Column]:
     return {"br": F.floor(F.col(r) / HIGH).cast("int"), "bc": F.floor(F.col(c) / WIDE).cast("int")}
 
 
-def packed(cells: DataFrame, keys: list[str], masks: dict[str, Column]) -> DataFrame:
-    """(keys, br, bc, and a word for each mask) of cells (keys, r, c)."""
+def packed(cells: DataFrame, keys: list[str], masks: dict[str, Column], also: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, br, bc, a word for each mask, and aggregates ``also`` of the block's rows) of cells (keys, r, c)."""
     rows = cells.withColumns(blocks()).withColumn("_bit", _place(F.col("r"), F.col("c")))
     word = lambda m: F.coalesce(F.bit_or(F.when(m, F.expr("shiftleft(1L, _bit)"))), F.lit(0).cast("long"))
-    return rows.groupBy(*keys, "br", "bc").agg(*(word(m).alias(n) for n, m in masks.items()))
+    return rows.groupBy(*keys, "br", "bc").agg(*(word(m).alias(n) for n, m in masks.items()), *(v.alias(n) for n, v in (also or {}).items()))
 
 
 def folded(words: DataFrame, key: str, word: str) -> DataFrame:

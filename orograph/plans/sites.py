@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import scalars as S
-from orograph.operators import resample, shapes
+from orograph.operators import bitmaps, resample, shapes
 from orograph.operators.registry import Registry
 from orograph.plans import visibility
 from orograph.sources import fixtures, geojson
@@ -347,9 +347,11 @@ def scene_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT station_id, count(*) AS points, count(DISTINCT (r, c)) AS columns_, max(z_agl) AS highest, round(max(clearance), 6) AS most_clearance FROM ({visibility.REGISTRY.oracle['voxel_points']}) GROUP BY station_id")
 def voxel_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and maxima of each station's voxel points."""
+    """Counts and maxima of each station's voxel points; its columns are the bits set in words of blocks, so no column is a row."""
     points = visibility.voxel_points(spark, sf_dir)
-    return points.groupBy("station_id").agg(F.count("*").alias("points"), F.countDistinct("r", "c").alias("columns_"), F.max("z_agl").alias("highest"), F.round(F.max("clearance"), 6).alias("most_clearance"))
+    words = bitmaps.packed(points, ["station_id"], {"word": F.lit(True)}, {"points": F.count("*"), "highest": F.max("z_agl"), "most": F.max("clearance")})
+    columns = F.sum(F.bit_count("word").cast("long"))
+    return words.groupBy("station_id").agg(F.sum("points").alias("points"), columns.alias("columns_"), F.max("highest").alias("highest"), F.round(F.max("most"), 6).alias("most_clearance"))
 
 
 @query(f"{with_('terrain', 'zones')}, z AS (SELECT r, c, r_inner FROM zones), hit AS (SELECT DISTINCT t.r, t.c FROM terrain t JOIN z ON (t.r - z.r) * (t.r - z.r) + (t.c - z.c) * (t.c - z.c) <= (z.r_inner + 1) * (z.r_inner + 1)) SELECT r, count(*) AS cells FROM hit GROUP BY r")
