@@ -166,35 +166,46 @@ def corners(edges: DataFrame, keys: list[str]) -> DataFrame:
     return turned.select(*keys, "ring", "n", F.pmod(F.col("nth") + 1, F.col("n")).alias("nth"), (F.col("y") + _picked(_STEP_Y, F.col("way"))).alias("y"), (F.col("x") + _picked(_STEP_X, F.col("way"))).alias("x"))
 
 
-def _thinned(tolerance: float):
-    """Of corners of a stretch, in order, those that a line within the tolerance of all must keep, by halving at the farthest."""
-
-    def run(pdf):
-        import pandas as pd
-
-        return pd.concat([thin(part) for _, part in pdf.groupby(["ring", "block"])])
-
-    def thin(pdf):
-        pdf = pdf.sort_values("nth", kind="stable").reset_index(drop=True)
-        end = pdf.loc[0, ["end_y", "end_x"]].to_numpy(float)
-        y, x = np.append(pdf["y"].to_numpy(float), end[0]), np.append(pdf["x"].to_numpy(float), end[1])
-        keep = np.zeros(len(y), bool)
-        keep[0] = True
-        todo = [(0, len(y) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            dy, dx = y[b] - y[a], x[b] - x[a]
-            size = dy * dy + dx * dx
-            py, px = y[a + 1 : b] - y[a], x[a + 1 : b] - x[a]
-            t = np.clip((py * dy + px * dx) / size, 0, 1) if size else np.zeros(len(py))
-            away = np.hypot(py - t * dy, px - t * dx)
-            far = int(away.argmax())
-            if away[far] > tolerance:
-                keep[a + 1 + far] = True
-                todo += [(a, a + 1 + far), (a + 1 + far, b)]
-        return pdf.loc[keep[:-1]].drop(columns=["end_y", "end_x", "block"])
+def _kept(y: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float) -> np.ndarray:
+    """Of the points between ``a`` and ``b`` of each stretch, those that a line within the tolerance of all must keep, by halving at the farthest.
+
+    All stretches are halved at once, so rounds number the halvings of the most winding one.
+    """
+    keep = np.zeros(len(y), bool)
+    while len(a):
+        a, b = a[b - a > 1], b[b - a > 1]
+        many = b - a - 1
+        whose, opens = np.repeat(np.arange(len(a)), many), np.cumsum(many) - many
+        at = np.arange(len(whose)) - opens[whose] + a[whose] + 1
+        dy, dx = y[b] - y[a], x[b] - x[a]
+        size = dy * dy + dx * dx
+        dy, dx, size, py, px = dy[whose], dx[whose], size[whose], y[at] - y[a][whose], x[at] - x[a][whose]
+        t = np.clip(np.divide(py * dy + px * dx, size, out=np.zeros(len(at)), where=size > 0), 0, 1)
+        away = np.hypot(py - t * dy, px - t * dx)
+        most = np.maximum.reduceat(away, opens) if len(a) else away
+        far = np.flatnonzero(away == most[whose])
+        far = at[far[np.searchsorted(whose[far], np.arange(len(a)))]]  # the first of equals
+        cut = most > tolerance
+        keep[far[cut]] = True
+        a, b = np.concatenate([a[cut], far[cut]]), np.concatenate([far[cut], b[cut]])
+    return keep
+
+
+def _thinned(tolerance: float, columns: list[str]):
+    """Corners of the stretches of a task that stay when each is thinned; see ``simplified``."""
+
+    def run(some: pa.Table) -> pa.Table:
+        some = some.sort_by([(n, "ascending") for n in ("ring", "block", "nth")])
+        ring, block = (some[n].to_numpy() for n in ("ring", "block"))
+        opens = np.flatnonzero(np.concatenate([[True], (np.diff(ring) != 0) | (np.diff(block) != 0)]))
+        nth = np.append(opens[1:], len(ring)) - 1
+        # Each stretch is followed by the corner that opens the next.
+        y, x = (np.insert(some[n].to_numpy().astype(float), nth + 1, some[f"end_{n}"].to_numpy()[nth]) for n in ("y", "x"))
+        first = opens + np.arange(len(opens))
+        last = nth + np.arange(len(opens)) + 1
+        keep = _kept(y, x, first, last, tolerance)
+        keep[first] = True
+        return some.select(columns).take(pa.array(np.flatnonzero(np.delete(keep, last))))
 
     return run
 
@@ -203,8 +214,8 @@ def simplified(points: DataFrame, keys: list[str], tolerance: float, block: int
     """Corners (as ``corners`` gives them) that stay when a ring may move by ``tolerance``.
 
     A ring is cut into stretches of ``block`` sides whose first corners stay, and
-    each is thinned in a task of its own, so a long ring is no one task's work. No
-    corner left out is farther than the tolerance from the line that replaces it.
+    each is thinned alone, with the others of its task at once; a long ring is no
+    one task's work. No corner left out is farther than the tolerance from the line that replaces it.
     """
     blocks = points.withColumn("block", F.floor(F.col("nth") / block))
     opening = blocks.groupBy("ring", "block").agg(F.min_by(F.struct("y", "x"), "nth").alias("p"))
@@ -214,4 +225,4 @@ def simplified(points: DataFrame, keys: list[str], tolerance: float, block: int
     joined = durable(blocks.join(opening, ["ring", "block"]))
     tasks = joined.count() // 50_000 + 1
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
-    return joined.groupBy(F.pmod(F.xxhash64("ring", "block"), F.lit(tasks))).applyInPandas(_thinned(tolerance), fields)
+    return joined.groupBy(F.pmod(F.xxhash64("ring", "block"), F.lit(tasks))).applyInArrow(_thinned(tolerance, points.columns), fields)
