@@ -41,3 +41,21 @@ def test_a_round_opens_the_tiles_it_asks_for(spark):
     assert sorted(x["id"] % 10 for x in some.collect()) == [0] * 10 + [7] * 10
     assert {f.rsplit("tile=", 1)[1].split("/")[0] for f in (x["f"] for x in some.select(F.input_file_name().alias("f")).collect())} == {"-3", "4"}
     kept.drop()
+
+
+def test_predecessors_are_told_across_tiles(spark, monkeypatch):
+    cells = spark.createDataFrame([(k, r, c, 1.0 + (r * 7 + c * 3 + k) % 5, f"{r}-{c}") for k in (0, 1) for r in range(12) for c in range(9) if (r * 3 + c) % 7], "layer int, r int, c int, price double, name string")
+    costs = paths.least_costs(cells, spark.createDataFrame([(0, 0, 1)], "layer int, r int, c int"), layers=2, vertical=3.0)
+    known = {(x["layer"], x["r"], x["c"]): x for x in cells.join(costs, paths.CELL).collect()}
+    monkeypatch.setattr(paths, "TILE_CELLS", 32)
+    got = paths.predecessors(cells, costs, layers=2, vertical=3.0)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    moves = [(0, a, b, d, 0.0) for a, b, d in paths.ALL_STEPS] + [(k, 0, 0, 1.0, 3.0) for k in (-1, 1)]
+    for x in got.collect():
+        at, here = (x["layer"], x["r"], x["c"]), known.pop((x["layer"], x["r"], x["c"]))
+        assert x["name"] == here["name"] and x["cost"] == here["cost"]
+        near = [((at[0] + e, at[1] + a, at[2] + b), d, up) for e, a, b, d, up in moves]
+        known[at] = here
+        offers = [(round(known[p]["cost"] + d * (known[p]["price"] + here["price"]) / 2 + up, 6), p) for p, d, up in near if p in known]
+        assert (x["p_layer"], x["p_r"], x["p_c"]) == (min(offers)[1] if here["cost"] else (None, None, None))
+    assert got.count() == len(known) > 150
