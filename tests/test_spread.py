@@ -36,7 +36,7 @@ def test_costs_are_those_of_a_heap(layers, vertical, by_speed):
 
 def test_a_round_opens_the_tiles_it_asks_for(spark):
     kept = Rounds()
-    table = kept.keep(spark.range(100).withColumn("tile", F.col("id") % 10 - 3), "tile")
+    table = kept.parted(spark.range(100).withColumn("tile", F.col("id") % 10 - 3), "tile")
     some = table.where(F.col("tile").isin([-3, 4]))
     assert sorted(x["id"] % 10 for x in some.collect()) == [0] * 10 + [7] * 10
     assert {f.rsplit("tile=", 1)[1].split("/")[0] for f in (x["f"] for x in some.select(F.input_file_name().alias("f")).collect())} == {"-3", "4"}
